@@ -1,15 +1,546 @@
-"""Registered queries of the engine's own operators and their SQL."""
+"""Registered queries of the engine's operators over whole tables, each with the SQL that checks it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..builder import content, contains, length, meta, ref, select, similarity
+from ..engine import Engine
+from ..functions.registry import Signature
+from ..functions.types import TypeHandler
+from ..operators import metrics, vectors
+from ..operators import text as text_ops
+from ..operators.embed import HashEmbedder, embed_column
+from ..operators.rerank import TokenOverlap, overlap
+from ..sources.collection import Collection, of_table, split_units, upsert
+from . import translate
+from .parse import parse
 
-def queries():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+FIELDS = ("lang", "source", "n_chars", "title", "category", "status", "published", "crawled_at")
+DIM = 64
 
 
-def oracle_sql():
-    return {}
+def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, d: str) -> Collection:
+    return of_table(table(spark, d, "documents"), "doc_id", "text", FIELDS)
+
+
+def embeddings(spark: SparkSession, d: str) -> Collection:
+    return of_table(table(spark, d, "embeddings"), "vec_id", F.col("vec_id").cast("string"), ["label"], {"default": "embedding"})
+
+
+def events(spark: SparkSession, d: str) -> Collection:
+    df = table(spark, d, "events").withColumn("props", F.parse_json("props"))
+    return of_table(df, "event_id", "event_type", ["ts", "event_type", "value", "props"])
+
+
+def store_docs(spark: SparkSession, d: str) -> Collection:
+    """Current versions; metadata stays an open map of strings."""
+    df = table(spark, d, "store_docs").groupBy("doc_key").agg(F.max_by(F.struct("seq", "payloads", "metadata", "source"), "seq").alias("r"))
+    text = F.array_join(F.transform(F.filter("r.payloads", lambda p: p["modality"] == "text"), lambda p: p["data"]), " ")
+    units = df.select(F.col("doc_key").alias("unit_id"), F.col("doc_key").alias("doc_id"), F.lit(0).alias("ordinal"), F.col("r.seq").alias("seq"), text.alias("content"), F.col("r.metadata").alias("metadata"))
+    return Collection(units, "document", {}, "metadata", {}, units.select("doc_id", "content", "metadata"))
+
+
+def stored_units(spark: SparkSession, d: str) -> Collection:
+    """Current units with usable vectors, brought to unit length."""
+    from ..operators.embed import unit_vector
+
+    df = table(spark, d, "units").groupBy("unit_id").agg(F.max_by(F.struct("doc_key", "ordinal", "seq", "kind", "status", "year_no", "vector"), "seq").alias("r")).select("unit_id", "r.*")
+    ok = (F.size("vector") == DIM) & F.exists("vector", lambda x: x != 0)
+    df = df.where(ok).withColumn("vector", unit_vector(F.col("vector")))
+    return of_table(df, "unit_id", "unit_id", ["kind", "status", "year_no"], {"default": "vector"}, granularity="chunk", doc_id="doc_key", ordinal="ordinal", seq="seq")
+
+
+def units_or_null(spark: SparkSession, d: str) -> Collection:
+    """Current units, usable vectors or not."""
+    df = table(spark, d, "units").groupBy("unit_id").agg(F.max_by(F.struct("doc_key", "ordinal", "seq", "kind", "year_no"), "seq").alias("r")).select("unit_id", "r.*")
+    return of_table(df, "unit_id", "unit_id", ["kind", "year_no"], granularity="chunk", doc_id="doc_key", ordinal="ordinal", seq="seq")
+
+
+def search(c: Collection, text: str, *columns: str, **how) -> DataFrame:
+    e = Engine(c.units.sparkSession, c, **{k: how.pop(k) for k in list(how) if k in ("field_types", "strict", "embedder", "reranker", "registry")})
+    for name, ext in how.pop("functions", {}).items():
+        e.register_function(name, **ext)
+    for name, ext in how.pop("types", {}).items():
+        e.register_type(name, ext)
+    df = e.search(text, **how)
+    return df.select(*columns) if columns else df
+
+
+def vector_of(spark: SparkSession, d: str, ident: int) -> list[float]:
+    return list(table(spark, d, "embeddings").where(F.col("vec_id") == ident).select("embedding").first()[0])
+
+
+# SQL pieces
+
+_WS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def _split(x: str) -> str:
+    cut = f"regexp_replace(regexp_replace(regexp_replace({_strip(x)}, '([.!?]){_WS}+', '\\1' || chr(30), 'g'), '([。！？…]){_WS}*', '\\1' || chr(30), 'g'), '\\n+', chr(30), 'g')"
+    return f"list_filter(list_transform(string_split({cut}, chr(30)), lambda s: {_strip('s')}), lambda s: length(s) > 0)"
+
+
+_SENT = f"""sent AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, doc_id AS seq, lang, source, n_chars, unnest({_split('text')}) AS content,
+              unnest(range(len({_split('text')}))) AS ordinal FROM documents WHERE text IS NOT NULL)"""
+_CHUNKS = f"""packed AS (SELECT doc_id, list_reduce(list_prepend('', {_split('text')}), lambda a, s:
+                CASE WHEN a = '' THEN s
+                     WHEN length(string_split(a, chr(31))[-1]) + length(s) + 1 > 1000 THEN a || chr(31) || s
+                     ELSE a || ' ' || s END) AS p, text FROM documents WHERE text IS NOT NULL),
+     ch AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, doc_id AS seq, unnest(string_split(p, chr(31))) AS content, unnest(range(len(string_split(p, chr(31))))) AS ordinal FROM packed WHERE p <> '')"""
+_NUM = r"'(?i)^[+-]?(?:(?:[0-9]+(?:_[0-9]+)*\.?(?:[0-9]+(?:_[0-9]+)*)?|\.[0-9]+(?:_[0-9]+)*)(?:e[+-]?[0-9]+(?:_[0-9]+)*)?)\s*$'"
+_DATE = r"'^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}(?::[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{3}(?:[0-9]{3})?)?)?)?)?$'"
+
+
+def _number(x: str) -> str:
+    return f"CASE WHEN regexp_matches({x}, {_NUM}) THEN try_cast(regexp_replace({x}, '[_\\s]', '', 'g') AS DOUBLE) END"
+
+
+def _date(x: str) -> str:
+    return f"CASE WHEN regexp_matches({x}, {_DATE}) THEN try_cast(CASE WHEN regexp_matches({x}, '[T ][0-9]{{2}}$') THEN {x} || ':00' ELSE {x} END AS TIMESTAMP) WHEN regexp_matches({x}, '^[0-9]{{8}}$') THEN try_strptime({x}, '%Y%m%d') END"
+
+
+_CUR = "cur AS (SELECT * FROM store_docs QUALIFY row_number() OVER (PARTITION BY doc_key ORDER BY seq DESC) = 1)"
+_DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
+
+
+def _cos(a: str, b: str) -> str:
+    return _DOT.format(a=a, b=b)
+
+
+# predicates
+
+
+@_query("scan_eq", "SELECT CAST(doc_id AS VARCHAR) AS unit_id FROM documents WHERE lang = 'en' AND category = 'kitchen'")
+def _(s, d):
+    return search(documents(s, d), 'SELECT DOCUMENT WHERE meta.lang == "en" AND category == "kitchen"', "unit_id")
+
+
+@_query("scan_neq_null", "SELECT CAST(doc_id AS VARCHAR) AS unit_id FROM documents WHERE status IS DISTINCT FROM 'draft'")
+def _(s, d):
+    return search(documents(s, d), 'SELECT DOCUMENT WHERE meta.status != "draft"', "unit_id")
+
+
+@_query("scan_range", "SELECT CAST(doc_id AS VARCHAR) AS unit_id, n_chars AS n FROM documents WHERE n_chars >= 500 AND n_chars < 900.5")
+def _(s, d):
+    return search(documents(s, d), "SELECT DOCUMENT LET n = n_chars WHERE 500 <= meta.n_chars AND meta.n_chars < 900.5", "unit_id", "n")
+
+
+@_query("null_not_ordered", "SELECT unit_id FROM (SELECT * FROM units QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY seq DESC) = 1) WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x <> 0)) > 0 AND NOT coalesce(year_no > 2023, false)")
+def _(s, d):
+    return search(stored_units(s, d), "SELECT CHUNK WHERE NOT meta.year_no > 2023", "unit_id")
+
+
+@_query("eq_null", "SELECT CAST(doc_id AS VARCHAR) AS unit_id FROM documents WHERE category IS NULL")
+def _(s, d):
+    return search(documents(s, d), "SELECT DOCUMENT WHERE meta.category == null", "unit_id")
+
+
+@_query("bool_algebra", "SELECT CAST(doc_id AS VARCHAR) AS unit_id FROM documents WHERE (coalesce(lang = 'fr', false) OR coalesce(lang = 'de', false)) AND NOT (coalesce(n_chars > 800, false) OR coalesce(source = 'src_07', false))")
+def _(s, d):
+    return search(documents(s, d), 'SELECT DOCUMENT WHERE (meta.lang == "fr" OR meta.lang == "de") AND NOT (n_chars > 800 OR source == "src_07")', "unit_id")
+
+
+@_query("truthiness", "SELECT CAST(doc_id AS VARCHAR) AS unit_id FROM documents WHERE coalesce(title <> '', false) AND coalesce(n_chars <> 0, false)")
+def _(s, d):
+    return search(documents(s, d), "SELECT DOCUMENT WHERE meta.title AND n_chars", "unit_id")
+
+
+@_query("contains_ci", "SELECT CAST(doc_id AS VARCHAR) AS unit_id FROM documents WHERE contains(lower(text), 'the tool agent')")
+def _(s, d):
+    return search(documents(s, d), 'SELECT DOCUMENT WHERE content CONTAINS "The Tool AGENT"', "unit_id")
+
+
+@_query("match_regex", r"SELECT CAST(doc_id AS VARCHAR) AS unit_id FROM documents WHERE regexp_matches(text, '[0-9]{3} (times|copies)')")
+def _(s, d):
+    return search(documents(s, d), 'SELECT DOCUMENT WHERE content MATCH "[0-9]{3} (times|copies)"', "unit_id")
+
+
+@_query("like_wildcard", "SELECT CAST(doc_id AS VARCHAR) AS unit_id FROM documents WHERE text LIKE 'The %st_re%'")
+def _(s, d):
+    return search(documents(s, d), 'SELECT DOCUMENT WHERE LIKE(content, "The %st_re%")', "unit_id")
+
+
+@_query("operand_flip", "SELECT CAST(doc_id AS VARCHAR) AS unit_id FROM documents WHERE n_chars > 1500 AND lang IS DISTINCT FROM 'en'")
+def _(s, d):
+    return search(documents(s, d), 'SELECT DOCUMENT WHERE 1500 < n_chars AND "en" != lang', "unit_id")
+
+
+# functions
+
+
+@_query("fn_length_count", "SELECT CAST(doc_id AS VARCHAR) AS unit_id, length(text) AS n, CAST((length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3 AS BIGINT) AS c FROM documents")
+def _(s, d):
+    return search(documents(s, d), 'SELECT DOCUMENT LET n = LENGTH(content), c = COUNT(content, "The")', "unit_id", "n", "c")
+
+
+@_query("fn_lower_nested", "SELECT CAST(doc_id AS VARCHAR) AS unit_id, length(lower(title)) AS n FROM documents WHERE contains(lower(title), 'agent')")
+def _(s, d):
+    return search(documents(s, d), 'SELECT DOCUMENT LET n = LENGTH(LOWER(meta.title)) WHERE CONTAINS(LOWER(title), UPPER("agent"))', "unit_id", "n")
+
+
+@_query("fn_upper", "SELECT CAST(doc_id AS VARCHAR) AS unit_id, upper(replace(source, 'ß', 'SS')) AS u FROM documents WHERE source IS NOT NULL")
+def _(s, d):
+    return search(documents(s, d), "SELECT DOCUMENT LET u = UPPER(meta.source) WHERE source != null", "unit_id", "u")
+
+
+# coercion
+
+
+@_query("coerce_numeric_string", f"WITH {_CUR}, v AS (SELECT doc_key, metadata['year'] AS y FROM cur) SELECT doc_key AS unit_id FROM v WHERE coalesce(({_number('y')}) >= 2024, false)")
+def _(s, d):
+    return search(store_docs(s, d), "SELECT DOCUMENT WHERE meta.year >= 2024", "unit_id", strict=False)
+
+
+@_query("coerce_equal_number", f"WITH {_CUR}, v AS (SELECT doc_key, metadata['year'] AS y FROM cur) SELECT doc_key AS unit_id FROM v WHERE coalesce(({_number('y')}) = 2024, false)")
+def _(s, d):
+    return search(store_docs(s, d), "SELECT DOCUMENT WHERE meta.year == 2024", "unit_id")
+
+
+@_query("coerce_text_hint", f"WITH {_CUR} SELECT doc_key AS unit_id FROM cur WHERE coalesce(metadata['year'] = '2024', false)")
+def _(s, d):
+    return search(store_docs(s, d), 'SELECT DOCUMENT WHERE meta.year == TEXT "2024"', "unit_id")
+
+
+@_query("coerce_date_hint", f"WITH {_CUR}, v AS (SELECT doc_key, metadata['date'] AS y FROM cur) SELECT doc_key AS unit_id FROM v WHERE CASE WHEN ({_date('y')}) IS NOT NULL THEN ({_date('y')}) >= TIMESTAMP '2024-06-01' ELSE coalesce(y >= '2024-06-01', false) END")
+def _(s, d):
+    return search(store_docs(s, d), 'SELECT DOCUMENT WHERE meta.date >= DATE "2024-06-01"', "unit_id")
+
+
+@_query("coerce_declared_number", f"WITH {_CUR}, v AS (SELECT doc_key, metadata['year'] AS y FROM cur) SELECT doc_key AS unit_id FROM v WHERE CASE WHEN ({_number('y')}) IS NOT NULL THEN ({_number('y')}) < 2024 ELSE coalesce(y < '2024', false) END")
+def _(s, d):
+    return search(store_docs(s, d), 'SELECT DOCUMENT WHERE meta.year < "2024"', "unit_id", field_types={"year": "number"})
+
+
+@_query("date_range_typed", "SELECT CAST(event_id AS VARCHAR) AS unit_id FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12 06:00:00' AND event_type = 'click'")
+def _(s, d):
+    return search(events(s, d), 'SELECT DOCUMENT WHERE meta.ts >= DATE "2024-01-10" AND ts < "2024-01-12T06:00:00" AND event_type == "click"', "unit_id")
+
+
+@_query("nested_path", "SELECT CAST(event_id AS VARCHAR) AS unit_id FROM events WHERE CAST(props->>'$.k' AS DOUBLE) >= 50")
+def _(s, d):
+    return search(events(s, d), "SELECT DOCUMENT WHERE meta.props.k >= 50", "unit_id")
+
+
+# order and limit
+
+
+@_query("order_multi", "SELECT CAST(doc_id AS VARCHAR) AS unit_id FROM documents ORDER BY lang ASC NULLS LAST, n_chars DESC NULLS FIRST, doc_id LIMIT 25")
+def _(s, d):
+    return search(documents(s, d), "SELECT DOCUMENT ORDER BY lang, n_chars DESC LIMIT 25", "unit_id", field_types={"lang": "text"})
+
+
+@_query("order_nulls_first", "SELECT unit_id FROM units QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY seq DESC) = 1 ORDER BY year_no DESC NULLS FIRST, kind ASC NULLS LAST, seq, unit_id LIMIT 40")
+def _(s, d):
+    return search(units_or_null(s, d), "SELECT CHUNK ORDER BY meta.year_no DESC, kind LIMIT 40", "unit_id", field_types={"kind": "text"})
+
+
+@_query("order_expr", "SELECT CAST(doc_id AS VARCHAR) AS unit_id FROM documents WHERE lang = 'en' ORDER BY length(text) DESC NULLS FIRST, doc_id LIMIT 10")
+def _(s, d):
+    return search(documents(s, d), 'SELECT DOCUMENT WHERE lang == "en" ORDER BY LENGTH(content) DESC LIMIT 10', "unit_id")
+
+
+@_query("order_mixed_strings", f"WITH {_CUR}, v AS (SELECT doc_key, seq, metadata['date'] AS y FROM cur), k AS (SELECT *, {_date('y')} AS t FROM v) SELECT doc_key AS unit_id FROM k ORDER BY CASE WHEN y IS NULL THEN 3 WHEN t IS NOT NULL THEN 1 ELSE 2 END, epoch(t), CASE WHEN t IS NULL THEN y END, seq, doc_key LIMIT 60")
+def _(s, d):
+    return search(store_docs(s, d), "SELECT DOCUMENT ORDER BY meta.date LIMIT 60", "unit_id")
+
+
+@_query("limit_override", "SELECT CAST(doc_id AS VARCHAR) AS unit_id FROM documents WHERE status = 'published' ORDER BY doc_id LIMIT 7")
+def _(s, d):
+    return search(documents(s, d), 'SELECT DOCUMENT WHERE status == "published" LIMIT 50', "unit_id", limit=7)
+
+
+# vectors
+
+_Q0 = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
+_Q1 = "(SELECT embedding FROM embeddings WHERE vec_id = 1)"
+
+
+@_query("topk", f"SELECT CAST(vec_id AS VARCHAR) AS unit_id, round({_cos('embedding', _Q0)}, 6) AS score FROM embeddings ORDER BY {_cos('embedding', _Q0)} DESC, vec_id LIMIT 10")
+def _(s, d):
+    df = search(embeddings(s, d), 'SELECT DOCUMENT LET score = SIMILARITY(content, "q") ORDER BY score DESC LIMIT 10', vectors={"q": vector_of(s, d, 0)})
+    return df.select("unit_id", F.round("score", 6).alias("score"))
+
+
+@_query("topk_default_order", f"SELECT CAST(vec_id AS VARCHAR) AS unit_id FROM embeddings ORDER BY {_cos('embedding', _Q1)} DESC, vec_id LIMIT 15")
+def _(s, d):
+    return search(embeddings(s, d), 'SELECT DOCUMENT LET r = SIMILARITY(content, "q") LIMIT 15', "unit_id", vectors={"q": vector_of(s, d, 1)})
+
+
+@_query("topk_prefilter", f"SELECT CAST(vec_id AS VARCHAR) AS unit_id FROM embeddings WHERE label >= 5 ORDER BY {_cos('embedding', _Q0)} DESC, vec_id LIMIT 10")
+def _(s, d):
+    return search(embeddings(s, d), 'SELECT DOCUMENT WHERE meta.label >= 5 ORDER BY SIMILARITY(content, "q") DESC LIMIT 10', "unit_id", vectors={"q": vector_of(s, d, 0)})
+
+
+@_query("score_threshold_multi", f"SELECT CAST(vec_id AS VARCHAR) AS unit_id, round({_cos('embedding', _Q0)}, 6) AS a, round({_cos('embedding', _Q1)}, 6) AS b FROM embeddings WHERE {_cos('embedding', _Q0)} >= 0.1 OR {_cos('embedding', _Q1)} > 0.2 ORDER BY {_cos('embedding', _Q1)} DESC, vec_id LIMIT 50")
+def _(s, d):
+    q = 'SELECT DOCUMENT LET a = SIMILARITY(content, "x"), b = similarity(content, "y") WHERE a >= 0.1 OR b > 0.2 ORDER BY b DESC LIMIT 50'
+    df = search(embeddings(s, d), q, vectors={"x": vector_of(s, d, 0), "y": vector_of(s, d, 1)})
+    return df.select("unit_id", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
+
+
+@_query("named_vector_missing", f"SELECT CAST(doc_id AS VARCHAR) AS unit_id, round(coalesce({_cos('embedding', _Q0)}, -2.0), 6) AS a FROM documents LEFT JOIN embeddings ON doc_id = vec_id")
+def _(s, d):
+    df = table(s, d, "documents").join(table(s, d, "embeddings"), F.col("doc_id") == F.col("vec_id"), "left")
+    c = of_table(df, "doc_id", "text", FIELDS, {"emb": "embedding"})
+    return search(c, 'SELECT DOCUMENT LET a = SIMILARITY(vec.emb, "q")', vectors={"q": vector_of(s, d, 0)}).select("unit_id", F.round("a", 6).alias("a"))
+
+
+@_query("batch_topk", f"""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, {_cos('a.embedding', 'b.embedding')} AS s FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)
+    SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS INTEGER) AS rank FROM p QUALIFY rank <= 5""")
+def _(s, d):
+    e = table(s, d, "embeddings")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return vectors.batch_top_k(e, "vec_id", "embedding", q, 5).select("query_id", "vec_id", "rank")
+
+
+@_query("units_topk_filtered", """WITH c AS (SELECT * FROM units QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY seq DESC) = 1),
+    u AS (SELECT *, sqrt(list_sum(list_transform(vector, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n FROM c WHERE len(vector) = 64),
+    s AS (SELECT unit_id, seq, list_sum(list_transform(list_zip(vector, (SELECT embedding FROM embeddings WHERE vec_id = 0)), lambda p: CAST(CAST(CAST(p[1] AS DOUBLE) / n AS FLOAT) AS DOUBLE) * CAST(p[2] AS DOUBLE))) AS s FROM u WHERE n > 0 AND status = 'published')
+    SELECT unit_id FROM s ORDER BY s DESC, seq, unit_id LIMIT 20""")
+def _(s, d):
+    return search(stored_units(s, d), 'SELECT CHUNK WHERE meta.status == "published" ORDER BY SIMILARITY(content, "q") DESC LIMIT 20', "unit_id", vectors={"q": vector_of(s, d, 0)})
+
+
+# text units and granularity
+
+
+@_query("sentences", f"WITH {_SENT} SELECT doc_id, CAST(ordinal AS INTEGER) AS ordinal, content FROM sent")
+def _(s, d):
+    return split_units(documents(s, d), "sentence").units.select("doc_id", "ordinal", "content")
+
+
+@_query("chunks", f"WITH {_CHUNKS} SELECT doc_id, CAST(ordinal AS INTEGER) AS ordinal, content FROM ch")
+def _(s, d):
+    return split_units(documents(s, d), "chunk").units.select("doc_id", "ordinal", "content")
+
+
+_NEAR = """SELECT h.doc_id || '#span:' || h.ordinal || '~2' AS unit_id, CAST(min(n.ordinal) AS INTEGER) AS span_start, CAST(max(n.ordinal) AS INTEGER) AS span_end, string_agg(n.content, ' ' ORDER BY n.ordinal) AS content
+    FROM {hits} h JOIN sent n ON n.doc_id = h.doc_id AND n.ordinal BETWEEN h.ordinal - 2 AND h.ordinal + 2 GROUP BY h.doc_id, h.ordinal"""
+
+
+@_query("span_sentences", f"WITH {_SENT} " + _NEAR.format(hits="(SELECT * FROM sent WHERE contains(lower(content), 'tool agent'))"))
+def _(s, d):
+    return search(split_units(documents(s, d), "sentence"), 'SELECT SPAN(SENTENCE, window => 2) WHERE content CONTAINS "tool agent"', "unit_id", "span_start", "span_end", "content")
+
+
+@_query("span_limit", f"WITH {_SENT} " + _NEAR.format(hits="(SELECT * FROM sent WHERE contains(content, 'metadata mask') ORDER BY length(content) DESC, seq, ordinal LIMIT 12)"))
+def _(s, d):
+    return search(split_units(documents(s, d), "sentence"), 'SELECT SPAN(SENTENCE, 2) WHERE content LIKE "%metadata mask%" ORDER BY LENGTH(content) DESC LIMIT 12', "unit_id", "span_start", "span_end", "content")
+
+
+@_query("document_best", f"WITH {_SENT}, b AS (SELECT doc_id, length(content) AS n FROM sent WHERE contains(lower(content), 'metadata mask') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(content) DESC, ordinal) = 1) SELECT b.doc_id AS unit_id, n, text AS content FROM b JOIN documents d ON CAST(d.doc_id AS VARCHAR) = b.doc_id")
+def _(s, d):
+    return search(split_units(documents(s, d), "sentence"), 'SELECT DOCUMENT LET n = LENGTH(content) WHERE content CONTAINS "Metadata Mask" ORDER BY n DESC', "unit_id", "n", "content")
+
+
+@_query("chunk_from_sentences", f"WITH {_SENT} SELECT doc_id || '#chunk' AS unit_id, string_agg(content, ' ' ORDER BY length(content) DESC, ordinal) AS content FROM sent WHERE contains(lower(content), 'tool agent') GROUP BY doc_id")
+def _(s, d):
+    return search(split_units(documents(s, d), "sentence"), 'SELECT CHUNK WHERE content CONTAINS "tool agent" ORDER BY LENGTH(content) DESC', "unit_id", "content")
+
+
+@_query("sentence_from_chunks", f"""WITH {_CHUNKS}, h AS (SELECT doc_id, ordinal, {_split('content')} AS l FROM ch WHERE contains(lower(content), 'tool agent')),
+    x AS (SELECT doc_id, ordinal, unnest(l) AS content, unnest(range(len(l))) AS i FROM h)
+    SELECT doc_id || '#sent:' || ordinal || ':' || i AS unit_id, CAST(ordinal + i AS INTEGER) AS ordinal, content FROM x""")
+def _(s, d):
+    return search(split_units(documents(s, d), "chunk"), 'SELECT SENTENCE WHERE content CONTAINS "tool agent"', "unit_id", "ordinal", "content")
+
+
+@_query("order_lines_span", """SELECT l.l_orderkey || '#span:' || l.l_linenumber || '~1' AS unit_id, string_agg(n.l_returnflag, ' ' ORDER BY n.l_linenumber) AS content
+    FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity >= 50) l JOIN (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL) n
+      ON n.l_orderkey = l.l_orderkey AND n.l_linenumber BETWEEN l.l_linenumber - 1 AND l.l_linenumber + 1 GROUP BY l.l_orderkey, l.l_linenumber""")
+def _(s, d):
+    lines = table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.max("l_quantity").alias("quantity"))
+    lines = lines.withColumn("id", F.concat_ws(":", "l_orderkey", "l_linenumber"))
+    c = of_table(lines, "id", "flag", ["quantity"], granularity="sentence", doc_id="l_orderkey", ordinal="l_linenumber", seq="l_orderkey")
+    return search(c, "SELECT SPAN(SENTENCE) WHERE meta.quantity >= 50", "unit_id", "content")
+
+
+@_query("detect_script", r"SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^\x{3000}-\x{9FFF}\x{FF00}-\x{FFEF}]', '', 'g')) / nullif(length(regexp_replace(text, '" + _WS + r"', '', 'g')), 0) > 0.2 THEN 'cjk' ELSE 'latin' END AS script FROM documents")
+def _(s, d):
+    return table(s, d, "documents").select("doc_id", text_ops.script(F.col("text")).alias("script"))
+
+
+_NORM = r"regexp_replace(regexp_replace(text, '[ \t\x{A0}\x{3000}]+', ' ', 'g'), '\n{2,}', chr(10), 'g')"
+
+
+@_query("normalize", "SELECT doc_id, " + _strip(f"list_reduce(list_transform(string_split({_NORM}, chr(10)), lambda l: {_strip('l')}), lambda a, b: a || chr(10) || b)") + " AS t FROM documents")
+def _(s, d):
+    return table(s, d, "documents").select("doc_id", text_ops.normalize(F.col("text"), nfc=False).alias("t"))
+
+
+# rerank and metrics
+
+
+@_query("rerank_overlap", "SELECT doc_id, round(len(list_intersect(list_distinct(regexp_split_to_array(lower(coalesce(text, '')), '" + _WS + "+')), ['tool', 'agent', 'checks', 'the'])) / 4.0, 6) AS o FROM documents")
+def _(s, d):
+    return table(s, d, "documents").select("doc_id", F.round(overlap("the tool agent checks", F.col("text")), 6).alias("o"))
+
+
+@_query("rerank_two_stage", f"""WITH first AS (SELECT vec_id, {_cos('embedding', _Q0)} AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT 50)
+    SELECT CAST(vec_id AS VARCHAR) AS unit_id FROM first ORDER BY CASE WHEN vec_id = 7 THEN 1 ELSE 0 END DESC, s DESC, vec_id LIMIT 10""")
+def _(s, d):
+    return search(embeddings(s, d), 'SELECT DOCUMENT LET r = SIMILARITY(content, "q") LIMIT 10', "unit_id", vectors={"q": vector_of(s, d, 0)}, reranker=TokenOverlap(), rerank_query="7")
+
+
+@_query("metrics", f"""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, a.label = b.label AS good, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_cos('a.embedding', 'b.embedding')} DESC, b.vec_id) AS rank
+      FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)
+    SELECT query_id, round(count(*) FILTER (good AND rank <= 10) / count(*) FILTER (good), 6) AS recall_at_k, round(coalesce(1.0 / min(rank) FILTER (good AND rank <= 50), 0), 6) AS reciprocal_rank FROM p GROUP BY query_id""")
+def _(s, d):
+    e = table(s, d, "embeddings")
+    q = e.where("vec_id % 20 = 0")
+    ranked = vectors.batch_top_k(e, "vec_id", "embedding", q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 50).select("query_id", F.col("vec_id").alias("id"), "rank")
+    gold = q.select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("id"), "label"), "label").select("query_id", "id")
+    return metrics.per_query(ranked, gold, 10).select("query_id", F.round("recall_at_k", 6).alias("recall_at_k"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
+
+
+@_query("condition_precision", "SELECT lang AS query_id, round(avg(CASE WHEN coalesce(status = 'published', false) THEN 1.0 ELSE 0.0 END), 6) AS precision FROM documents WHERE lang IS NOT NULL GROUP BY lang")
+def _(s, d):
+    df = table(s, d, "documents").where("lang is not null").withColumn("query_id", F.col("lang"))
+    return metrics.condition_precision(df, F.col("status") == "published").select("query_id", F.round("precision", 6).alias("precision"))
+
+
+@_query("dedup_by_text", "SELECT substr(md5(text), 1, 10) AS doc_hash, count(*) > 0 AS there FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def _(s, d):
+    return metrics.dedup_by_text(table(s, d, "documents").where("text is not null")).select("doc_hash", F.lit(True).alias("there"))
+
+
+# extensions
+
+
+@_query("udf_column", "SELECT CAST(doc_id AS VARCHAR) AS unit_id, length(text) - length(replace(text, ' ', '')) AS w FROM documents WHERE length(text) - length(replace(text, ' ', '')) > 200")
+def _(s, d):
+    blanks = {"BLANKS": {"signature": Signature(("text",), "bigint"), "build": lambda t: (F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))).cast("bigint")}}
+    return search(documents(s, d), "SELECT DOCUMENT LET w = BLANKS(content) WHERE w > 200", "unit_id", "w", functions=blanks)
+
+
+@_query("udf_python", "SELECT CAST(doc_id AS VARCHAR) AS unit_id FROM documents WHERE title IS NOT NULL AND length(title) % 7 = 0")
+def _(s, d):
+    seven = {"SEVENTH": {"signature": Signature(("text",), "bool"), "python": lambda t: t is not None and len(t) % 7 == 0}}
+    return search(documents(s, d), "SELECT DOCUMENT WHERE SEVENTH(meta.title)", "unit_id", functions=seven)
+
+
+@_query("splitter_custom", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, unnest(string_split(text, chr(10) || chr(10))) AS content FROM documents WHERE text IS NOT NULL")
+def _(s, d):
+    return split_units(documents(s, d), "paragraph", lambda t: F.split(t, "\n\n", -1)).units.select("doc_id", "content")
+
+
+@_query("type_custom", "SELECT CAST(doc_id AS VARCHAR) AS unit_id FROM documents WHERE coalesce(CAST(substr(source, 5) AS INTEGER) > 30, false)")
+def _(s, d):
+    number = TypeHandler("srcno", lambda x: int(x[4:]), parse_column=lambda c: F.substring(c, 5, 10).try_cast("int"))
+    return search(documents(s, d), 'SELECT DOCUMENT WHERE meta.source > SRCNO "src_30"', "unit_id", types={"srcno": number})
+
+
+@_query("builder_equivalent", "SELECT CAST(doc_id AS VARCHAR) AS unit_id, length(text) AS n FROM documents WHERE coalesce(n_chars >= 300, false) AND contains(lower(text), 'harbour') AND NOT coalesce(lang = 'de', false)")
+def _(s, d):
+    q = select("document").let("n", length(content)).where(meta("n_chars") >= 300, contains(content, "harbour")).where(~(meta("lang") == "de")).order_by("n", desc=True)
+    return search(documents(s, d), q, "unit_id", "n")
+
+
+@_query("ir_document", "SELECT CAST(doc_id AS VARCHAR) AS unit_id FROM documents WHERE lang IN ('en', 'fr') AND length(text) > 2000")
+def _(s, d):
+    path = lambda *p: {"node": "path", "root": p[0], "segments": list(p[1:])}
+    eq = lambda v: {"node": "compare", "op": "==", "left": path("meta", "lang"), "right": {"node": "literal", "value": v}}
+    long = {"node": "compare", "op": ">", "left": {"node": "call", "name": "LENGTH", "args": [path("content")]}, "right": {"node": "literal", "value": 2000}}
+    return search(documents(s, d), {"select": {"unit": "document"}, "where": {"node": "and", "operands": [{"node": "or", "operands": [eq("en"), eq("fr")]}, long]}}, "unit_id")
+
+
+@_query("upsert_latest", "SELECT unit_id, seq, status FROM units QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY seq DESC) = 1")
+def _(s, d):
+    u = table(s, d, "units").select("unit_id", "seq", "status")
+    return upsert(u.where("seq % 2 = 0"), u.where("seq % 2 = 1"), "unit_id", "seq")
+
+
+@_query("document_lookup", "SELECT u.unit_id, s.doc_key IS NOT NULL AS there FROM (SELECT * FROM units QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY seq DESC) = 1) u LEFT JOIN (SELECT DISTINCT doc_key FROM store_docs) s ON u.doc_key = s.doc_key")
+def _(s, d):
+    u = upsert(table(s, d, "units").select("unit_id", "seq", "doc_key"), table(s, d, "units").select("unit_id", "seq", "doc_key").limit(0), "unit_id", "seq")
+    docs = store_docs(s, d).documents.select(F.col("doc_id").alias("doc_key"), F.lit(True).alias("t"))
+    return u.join(docs, "doc_key", "left").select("unit_id", F.coalesce("t", F.lit(False)).alias("there"))
+
+
+@_query("neighbour_scan", f"WITH {_SENT} SELECT doc_id, CAST(ordinal AS INTEGER) AS ordinal, content FROM sent WHERE ordinal BETWEEN 3 AND 7 AND seq % 20 = 0")
+def _(s, d):
+    u = split_units(documents(s, d), "sentence").units
+    frame = Window.partitionBy("doc_id")
+    centre = u.withColumn("c", F.max(F.when(F.col("ordinal") == 5, 5)).over(frame))
+    return centre.where(F.col("ordinal").between(3, 7) & (F.floor(F.col("seq") / 1_000_000) % 20 == 0)).select("doc_id", "ordinal", "content")
+
+
+# without SQL: rows only
+
+
+@_query("hash_embedding_search")
+def _(s, d):
+    c = split_units(documents(s, d), "sentence")
+    e = HashEmbedder(DIM)
+    units = c.units.withColumn("v", embed_column(F.col("content"), e))
+    v = Collection(units, "sentence", c.fields, None, {"default": "v"}, c.documents)
+    return search(v, 'SELECT SPAN(SENTENCE, 1) LET rel = SIMILARITY(content, "the tool agent checks the filter mask") WHERE rel > 0.3 ORDER BY rel DESC LIMIT 20', "unit_id", "content", "rel", embedder=e)
+
+
+@_query("translated_filters")
+def _(s, d):
+    where = parse('SELECT CHUNK WHERE meta.status == "published" AND (meta.year >= 2024 OR NOT meta.lang != "en")').where
+    sql, values = translate.sql_filter(where)
+    return s.createDataFrame([("must", str(translate.must_filter(where))), ("where", str(translate.where_filter(where))), ("sql", f"{sql} {values}")], "target string, filter string")
+
+
+@_query("explain_plan")
+def _(s, d):
+    e = Engine(s, documents(s, d))
+    x = e.explain('SELECT DOCUMENT WHERE meta.lang == "en" AND content CONTAINS "agent" ORDER BY LENGTH(content) DESC LIMIT 5')
+    return s.createDataFrame([(k, str(v)) for k, v in x.items()], "item string, value string")
+
+
+@_query("cell_index_topk")
+def _(s, d):
+    import tempfile
+    import uuid
+
+    root = (s.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}").rstrip("/")
+    e = table(s, d, "embeddings")
+    index = vectors.CellIndex.build(e, "embedding", f"{root}/cells-{uuid.uuid4().hex}", cells=16)
+    return index.search(s, vector_of(s, d, 0), 10, probes=8, tie=("vec_id",)).select("vec_id", "score")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Meaning, metadata and keywords in one query over sentences embedded on the fly."""
+    docs = documents(spark, sf_dir)
+    e = HashEmbedder(DIM)
+    c = split_units(docs, "sentence")
+    units = c.units.withColumn("v", embed_column(F.col("content"), e))
+    v = Collection(units, "sentence", c.fields, None, {"default": "v"}, c.documents)
+    q = select("sentence").let("rel", similarity("content", "the harbour guide checks the index")).where(meta("lang") == "en", contains(content, "harbour"), ref("rel") > 0.2).order_by("rel", desc=True).limit(20)
+    return search(v, q, "unit_id", "doc_id", "content", "rel", embedder=e)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
