@@ -180,9 +180,9 @@ def _(s, d):
     return search(documents(s, d), 'SELECT DOCUMENT WHERE content MATCH "[0-9]{3} (times|copies)"', "unit_id")
 
 
-@_query("like_wildcard", "SELECT CAST(doc_id AS VARCHAR) AS unit_id FROM documents WHERE text LIKE 'The %st_re%'")
+@_query("like_wildcard", "SELECT CAST(doc_id AS VARCHAR) AS unit_id FROM documents WHERE text LIKE 'The %s_o%re%'")
 def _(s, d):
-    return search(documents(s, d), 'SELECT DOCUMENT WHERE LIKE(content, "The %st_re%")', "unit_id")
+    return search(documents(s, d), 'SELECT DOCUMENT WHERE LIKE(content, "The %s_o%re%")', "unit_id")
 
 
 @_query("operand_flip", "SELECT CAST(doc_id AS VARCHAR) AS unit_id FROM documents WHERE n_chars > 1500 AND lang IS DISTINCT FROM 'en'")
@@ -198,9 +198,9 @@ def _(s, d):
     return search(documents(s, d), 'SELECT DOCUMENT LET n = LENGTH(content), c = COUNT(content, "The")', "unit_id", "n", "c")
 
 
-@_query("fn_lower_nested", "SELECT CAST(doc_id AS VARCHAR) AS unit_id, length(lower(title)) AS n FROM documents WHERE contains(lower(title), 'agent')")
+@_query("fn_lower_nested", "SELECT CAST(doc_id AS VARCHAR) AS unit_id, length(lower(title)) AS n FROM documents WHERE contains(lower(title), 'the')")
 def _(s, d):
-    return search(documents(s, d), 'SELECT DOCUMENT LET n = LENGTH(LOWER(meta.title)) WHERE CONTAINS(LOWER(title), UPPER("agent"))', "unit_id", "n")
+    return search(documents(s, d), 'SELECT DOCUMENT LET n = LENGTH(LOWER(meta.title)) WHERE CONTAINS(LOWER(title), LOWER("The"))', "unit_id", "n")
 
 
 @_query("fn_upper", "SELECT CAST(doc_id AS VARCHAR) AS unit_id, upper(replace(source, 'ß', 'SS')) AS u FROM documents WHERE source IS NOT NULL")
