@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +33,10 @@ ORDERS, ALPHA, PENALTY, TEMPER, SAMPLE_LIMIT = (1, 2, 3, 4), 0.3, 5.0, 0.5, 2000
 EM_ROUNDS = 12
 #: labelled documents a label, and their greatest length, that the second fit takes
 LABELLED_LIMIT, LABELLED_CHARS = 60, 4000
+#: letters of a word that count
+WORD_CHARS = 40
 #: least share of a Latin sentence's longest n-grams that its best language must know
-MIN_KNOWN = 0.25
+MIN_KNOWN = 0.1
 
 # ISO 639-2 three-letter codes (terminological and bibliographic) of the two-letter ones.
 THREE = {
@@ -74,67 +75,160 @@ def features(sentence: str) -> str:
     return " " + " ".join(_NOT_LETTERS.sub(" ", s).split()) + " "
 
 
-def _grams(text: str) -> list[str]:
-    """Character n-grams and whole words (as " word "), longest kinds last."""
-    grams = [text[i : i + n] for n in ORDERS for i in range(len(text) - n + 1)]
-    grams += [f"\x01{w}" for w in text.split()]
-    return grams
-
-
-def _kind(gram: str) -> int:
-    return 0 if gram[0] == "\x01" else len(gram)
-
-
 def _plain(text: str) -> str:
     """Without accents, as carelessly typed text is."""
     return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", text) if not "\u0300" <= c <= "\u036f"))
 
 
+_P = np.uint64(0x100000001B3)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: characters whose n-grams are looked up at once
+SLICE = 60_000
+
+
+class _Grams:
+    """n-grams and words of many sentences as hashes, for whole arrays at once."""
+
+    def __init__(self, texts: list[str]):
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes)))[:-1]
+        c = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        sent = np.repeat(np.arange(len(texts)), self.sizes)
+        hashes, owners = [], []
+        with np.errstate(over="ignore"):
+            h = np.zeros(len(c), np.uint64)
+            for n in ORDERS:
+                m = len(c) - n + 1
+                if m <= 0:
+                    break
+                h = h[:m] * _P + c[n - 1 :] + np.uint64(1)
+                inside = sent[:m] == sent[n - 1 :]
+                hashes.append(((h ^ np.uint64(n)) * _MIX)[inside])
+                owners.append(sent[:m][inside])
+            # words: between blanks, by prefix hashes
+            blank = np.flatnonzero(c == 32)
+            left, right = blank[:-1] + 1, blank[1:]
+            word = (right > left) & (sent[left - 1] == sent[right]) if len(blank) > 1 else np.zeros(0, bool)
+            left, right = left[word], right[word]
+            total = np.zeros(len(left), np.uint64)
+            for i in range(int((right - left).max()) if len(left) else 0):  # as many rounds as the longest word has letters
+                more = left + i < right
+                if not more.any():
+                    break
+                at = np.flatnonzero(more)
+                total[at] = total[at] * _P + c[left[at] + i] + np.uint64(1)
+                if i >= WORD_CHARS:
+                    break
+            hashes.append((total ^ np.uint64(77)) * _MIX)
+            owners.append(sent[left])
+        self.kinds = [len(x) for x in hashes]
+        self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        self.owners = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+
+
 class Model:
-    """Log-probabilities of n-grams by language, one matrix row an n-gram."""
+    """Log-probabilities of n-grams and words by language; rows are found through a hash table."""
 
     def __init__(self, samples: list[tuple[str, str]]):
         self.langs = sorted({lang for lang, _ in samples})
         at = {lang: k for k, lang in enumerate(self.langs)}
-        counts: dict[str, np.ndarray] = {}
-        for lang, text in samples:
-            whole = features(text)
-            for form in {whole, _plain(whole)}:
-                for g in _grams(form):
-                    if g not in counts:
-                        counts[g] = np.zeros(len(self.langs))
-                    counts[g][at[lang]] += 1
-        kinds = sorted({_kind(g) for g in counts})
-        total = {k: np.zeros(len(self.langs)) for k in kinds}
-        size = Counter(_kind(g) for g in counts)
-        for g, c in counts.items():
-            total[_kind(g)] += c
-        self.index = {g: i for i, g in enumerate(counts)}
-        rows = [np.log((c + ALPHA) / (total[_kind(g)] + ALPHA * (size[_kind(g)] + 1))) for g, c in counts.items()]
-        self.table = np.array(rows, np.float32) if rows else np.zeros((0, len(self.langs)), np.float32)
-        #: which n-grams of the longest order a language has: shows text that only looks like one
-        self.known = np.array([(c > 0) & (_kind(g) == max(ORDERS)) for g, c in counts.items()], bool) if rows else np.zeros((0, len(self.langs)), bool)
-
-    def score(self, sentence: str) -> np.ndarray | None:
-        """Log-likelihood by language, up to a constant; None for a sentence that is in none.
-
-        That is one without letters, or an alphabetic one of which hardly a longest
-        n-gram occurs in any language (scrambled letters, keys, encoded data).
+        forms = [(at[lang], f) for lang, text in samples for f in {features(text), _plain(features(text))} if len(f) > 2]
+        kinds = len(ORDERS) + 1
+        parts: list[list[np.ndarray]] = [[] for _ in range(kinds)]
+        owner_lang = np.array([k for k, _ in forms], np.int64)
+        langs_of: list[list[np.ndarray]] = [[] for _ in range(kinds)]
+        for s in range(0, len(forms), 500):
+            g = _Grams([f for _, f in forms[s : s + 500]])
+            ends = np.cumsum([0, *g.kinds])
+            for k in range(len(g.kinds)):
+                kind = kinds - 1 if k == len(g.kinds) - 1 else k
+                parts[kind].append(g.hashes[ends[k] : ends[k + 1]])
+                langs_of[kind].append(owner_lang[s + g.owners[ends[k] : ends[k + 1]]])
+        keys, rows, known = [], [], []
+        n_lang = len(self.langs)
+        for kind in range(kinds):
+            if not parts[kind]:
+                continue
+            u, inv = np.unique(np.concatenate(parts[kind]), return_inverse=True)
+            count = np.bincount(inv * n_lang + np.concatenate(langs_of[kind]), minlength=len(u) * n_lang).reshape(len(u), n_lang).astype(float)
+            keys.append(u)
+            rows.append(np.log((count + ALPHA) / (count.sum(0) + ALPHA * (len(u) + 1))))
+            known.append((count > 0) & (kind == len(ORDERS) - 1))
+        self.table = np.concatenate(rows).astype(np.float32) if rows else np.zeros((0, n_lang), np.float32)
+        self.known = np.concatenate(known) if known else np.zeros((0, n_lang), bool)
+        self._fill(np.concatenate(keys) if keys else np.zeros(0, np.uint64))
+
+    def _fill(self, keys: np.ndarray) -> None:
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 4))))
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        self.keys = np.append(keys, np.uint64(0))
+        todo = np.arange(len(keys))
+        at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        mask = (1 << self.bits) - 1
+        while len(todo):  # of those that want a free slot one gets it; the rest move on
+            free = np.flatnonzero(self.slots[at] < 0)
+            _, first = np.unique(at[free], return_index=True)
+            won = free[first]
+            self.slots[at[won]] = todo[won]
+            rest = np.ones(len(todo), bool)
+            rest[won] = False
+            todo, at = todo[rest], (at[rest] + 1) & mask
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Row of each hash, -1 for unknown ones."""
+        out = np.full(len(h), -1, np.int32)
+        todo = np.arange(len(h))
+        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        mask = (1 << self.bits) - 1
+        while len(todo):
+            row = self.slots[at]
+            hit = (row >= 0) & (self.keys[row] == h[todo])
+            out[todo[hit]] = row[hit]
+            on = (row >= 0) & ~hit
+            todo, at = todo[on], (at[on] + 1) & mask
+        return out
+
+    def scores(self, sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(log-likelihood by language up to a constant, whether the sentence is in a language at all).
+
+        It isn't if it has no letters, or if it is alphabetic and hardly a longest n-gram
+        of it occurs in any language (scrambled letters, keys, encoded data).
         """
-        text = features(sentence)
-        if len(text) < 3:
-            return None
-        index = self.index
-        hits = [k for g in _grams(text) if (k := index.get(g)) is not None]
-        longest = len(text) - max(ORDERS) + 1
-        if not hits:
-            return None
-        values = self.table[hits].sum(0, dtype=np.float64)
-        if longest >= 12 and text.isascii():
-            seen = self.known[hits].sum(0).max() / longest
-            if seen < MIN_KNOWN:
-                return None
-        return values
+        texts = [features(s) for s in sentences]
+        ll = np.zeros((len(texts), len(self.langs)))
+        ok = np.zeros(len(texts), bool)
+        sizes = np.cumsum([0, *map(len, texts)])
+        s = 0
+        while s < len(texts):
+            e = max(s + 1, int(np.searchsorted(sizes, sizes[s] + SLICE, "right")) - 1)
+            self._slice(texts[s:e], ll[s:e], ok[s:e])
+            s = e
+        return ll, ok
+
+    def _slice(self, texts: list[str], ll: np.ndarray, ok: np.ndarray) -> None:
+        g = _Grams(texts)
+        row = self._find(g.hashes)
+        seen = np.zeros(len(texts), np.int64)
+        ends = np.cumsum([0, *g.kinds])
+        for k in range(len(g.kinds)):  # within a kind the n-grams stand by sentence
+            r, owner = row[ends[k] : ends[k + 1]], g.owners[ends[k] : ends[k + 1]]
+            hit = r >= 0
+            r, owner = r[hit], owner[hit]
+            if not len(r):
+                continue
+            first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            ll[owner[first]] += np.add.reduceat(self.table[r], first)
+            ok[owner[first]] = True
+            if k == len(ORDERS) - 1:
+                plain = np.array([t.isascii() for t in texts])[owner]
+                r, owner = r[plain], owner[plain]
+                if len(r):
+                    first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+                    seen[owner[first]] = np.add.reduceat(self.known[r].astype(np.int16), first).max(1)
+        for i, t in enumerate(texts):
+            longest = len(t) - max(ORDERS) + 1
+            if len(t) < 3 or (longest >= 12 and t.isascii() and seen[i] < MIN_KNOWN * longest):
+                ok[i] = False
 
 
 def fit_mixture(scores: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,28 +288,38 @@ def sentences_with_language(texts: list[str | None]) -> list[tuple[int, int, int
 
 def segment(model: Model, texts: list[str | None]) -> list[dict]:
     """Maximal runs of sentences in one language, in order."""
-    found, scores, weights = [], [], []
-    for k, a, b, s in sentences_with_language(texts):
-        v = model.score(s)
-        if v is not None:
-            found.append((k, a, b))
-            scores.append(v)
-            weights.append(max(1, b - a))
+    return segment_all(model, [texts])[0]
+
+
+def segment_all(model: Model, documents: list[list[str | None]]) -> list[list[dict]]:
+    """The segments of each document; the n-grams of all of them are looked up together."""
+    found = [sentences_with_language(texts) for texts in documents]
+    ll, ok = model.scores([s for part in found for *_, s in part])
+    out, at = [], 0
+    for part in found:
+        n = len(part)
+        use = np.flatnonzero(ok[at : at + n])
+        out.append(_runs(model.langs, [part[i][:3] for i in use], ll[at : at + n][use]))
+        at += n
+    return out
+
+
+def _runs(langs: list[str], found: list[tuple[int, int, int]], scores: np.ndarray) -> list[dict]:
     if not found:
         return []
-    mix, post = fit_mixture(np.array(scores), np.array(weights, float))
+    weights = np.array([max(1, b - a) for _, a, b in found], float)
+    mix, post = fit_mixture(scores, weights)
     out: list[dict] = []
     for (k, a, b), p, w in zip(found, post, weights):
         best = int(p.argmax())
-        lang = model.langs[best]
-        if out and out[-1]["lang"] == lang:
+        if out and out[-1]["lang"] == langs[best]:
             seg = out[-1]
             seg["payload_end"], seg["end_pos"] = k, b
             seg["sentences"] += 1
             seg["_w"] += w
             seg["_c"] += w * float(p[best])
         else:
-            out.append({"seg_no": len(out), "lang": lang, "payload_no": k, "start_pos": a, "payload_end": k, "end_pos": b, "sentences": 1, "share": float(mix[best]), "_w": w, "_c": w * float(p[best])})
+            out.append({"seg_no": len(out), "lang": langs[best], "payload_no": k, "start_pos": a, "payload_end": k, "end_pos": b, "sentences": 1, "share": float(mix[best]), "_w": w, "_c": w * float(p[best])})
     for seg in out:
         seg["confidence"] = seg.pop("_c") / seg.pop("_w")
     return out
@@ -230,16 +334,10 @@ _ARROW = pa.schema(
 
 def refine(model: Model, samples: list[tuple[str, str]], labelled: list[tuple[str, list[str | None]]]) -> Model:
     """Fit again with the sentences of labelled documents on which label and first model agree."""
-    more = []
-    for lang, texts in labelled:
-        if lang not in model.langs:
-            continue
-        k = model.langs.index(lang)
-        for *_, s in sentences_with_language(texts):
-            v = model.score(s)
-            if v is not None and v.argmax() == k:
-                more.append((lang, s))
-    return Model(samples + more)
+    flat = [(lang, s) for lang, texts in labelled if lang in model.langs for *_, s in sentences_with_language(texts)]
+    ll, ok = model.scores([s for _, s in flat])
+    agree = ok & (ll.argmax(1) == np.array([model.langs.index(lang) for lang, _ in flat], int)) if flat else ok
+    return Model(samples + [x for x, good in zip(flat, agree) if good])
 
 
 def fit_model(store_docs: DataFrame, lang_samples: DataFrame, sample_limit: int = SAMPLE_LIMIT, labelled_limit: int = LABELLED_LIMIT) -> Model:
@@ -275,10 +373,10 @@ def language_segments(store_docs: DataFrame, lang_samples: DataFrame, sample_lim
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in (b.slice(k, 200) for b in batches for k in range(0, b.num_rows, 200)):
             rows = []
-            for r in batch.to_pylist():
-                segs = segment(m, r["texts"] or [])
+            docs = batch.to_pylist()
+            for r, segs in zip(docs, segment_all(m, [r["texts"] or [] for r in docs])):
                 rows += [{"doc_key": r["doc_key"], "label": label_code(r["label"]), **s, "segments": len(segs)} for s in segs]
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
