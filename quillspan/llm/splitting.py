@@ -72,7 +72,7 @@ def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     weak_ends = sorted({*word_ends, *marks})
     begins = sorted(starts | {e for e in marks if e < n and not text[e].isspace()})
     out: list[tuple[int, int]] = []
-    reached = begin
+    reached = begin  # end of the last piece
     while True:
         top = begin + limit
         if stop <= top:
@@ -90,6 +90,9 @@ def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
                 end = top
         while end > begin + 1 and text[end - 1].isspace():
             end -= 1
+        if end <= reached:  # only blanks in reach beyond what the last piece had: no overlap here
+            begin = reached + len(text[reached:]) - len(text[reached:].lstrip())
+            continue
         out.append((begin, end))
         reached = end
         after = end
