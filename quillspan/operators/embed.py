@@ -11,6 +11,7 @@ from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,9 +42,24 @@ def unit_rows(m: np.ndarray) -> np.ndarray:
 
 
 def unit_vector(v: Column) -> Column:
-    """The same for a column, inside Catalyst."""
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.when(norm > 0, F.transform(v, lambda x: (x / norm).cast("float"))).otherwise(v)
+    """The same for a column of vectors of one size; null for null."""
+
+    def run(a: pa.Array) -> pa.Array:
+        there = np.asarray(a.is_valid())
+        vec = a.drop_null()
+        if not len(vec):
+            return pa.nulls(len(a), pa.list_(pa.float32()))
+        flat = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        ends = np.concatenate(([0], np.cumsum(np.asarray(vec.value_lengths()))))
+        norm = np.sqrt(np.add.reduceat(np.append(flat * flat, 0.0), ends[:-1])) if len(flat) else np.zeros(len(vec))
+        norm = np.repeat(np.where(norm > 0, norm, 1), np.diff(ends))
+        offsets = np.zeros(len(a) + 1, np.int64)
+        offsets[1:][there] = np.diff(ends)
+        mask = pa.array(np.append(~there, False))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(offsets), pa.int32(), mask=np.asarray(mask)), pa.array((flat / norm).astype(np.float32)))
+
+    run.__annotations__ = {"a": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, VECTOR)(v)
 
 
 @lru_cache(maxsize=200_000)

@@ -44,6 +44,7 @@ class Value:
     is_literal: bool = False
     hint: str | None = None
     type: T.DataType | None = None
+    inside: tuple[Column, str] | None = None
 
     @property
     def text(self) -> Column:
@@ -63,8 +64,8 @@ class Value:
                 n = number_of(self.literal)
                 return None if n is None else F.lit(n)
             return number_column(self.col)
-        if self.kind == "variant":
-            return F.when(_variant_kind(self.col).isin("number"), F.try_variant_get(self.col, "$", "double")).when(_variant_kind(self.col) == "text", number_column(F.try_variant_get(self.col, "$", "string")))
+        if self.kind == "variant":  # numbers and strings alike by their text, which booleans don't pass
+            return number_column(self.variant("string"))
         return None
 
     @property
@@ -77,9 +78,18 @@ class Value:
                 return None if d is None else F.lit(d.isoformat()).cast("timestamp_ntz")
             return date_column(self.col)
         if self.kind == "variant":
-            return F.when(_variant_kind(self.col) == "text", date_column(F.try_variant_get(self.col, "$", "string")))
+            return F.when(self.variant_kind == "text", date_column(self.variant("string")))
         return None
 
+    def variant(self, kind: str) -> Column:
+        """The value out of its variant, straight by its path."""
+        col, path = self.inside or (self.col, "$")
+        return F.try_variant_get(col, path, kind)
+
+    @property
+    def variant_kind(self) -> Column:
+        return _variant_kind(self.col)
+
 
 def _variant_kind(v: Column) -> Column:
     s = F.schema_of_variant(v)
@@ -154,7 +164,7 @@ class Compiler:
         while keys:
             if t.typeName() == "variant":
                 path = "$" + "".join(f"['{k}']" if "'" not in k else f'["{k}"]' for k in keys)
-                return Value("variant", F.try_variant_get(col, path, "variant"), hint=hint, type=t)
+                return Value("variant", F.try_variant_get(col, path, "variant"), hint=hint, type=t, inside=(col, path))
             if isinstance(t, T.StructType) and keys[0] in t.names:
                 col, t = col.getField(keys[0]), t[keys[0]].dataType
                 keys = keys[1:]
@@ -305,7 +315,7 @@ class Compiler:
         return F.lit(False)
 
     def _raw_variant(self, op: str, left: Value, right: Value) -> Column:
-        texts = [F.try_variant_get(v.col, "$", "string") if v.kind == "variant" else v.text for v in (left, right)]
+        texts = [v.variant("string") if v.kind == "variant" else v.text for v in (left, right)]
         kinds = [_variant_kind(v.col) if v.kind == "variant" else F.lit(v.kind) for v in (left, right)]
         there = left.col.isNotNull() & right.col.isNotNull()
         same = kinds[0] == kinds[1]
@@ -330,8 +340,8 @@ class Compiler:
             return []
         # untyped: rank of the kind, then the key of that kind
         when = v.date
-        text = F.try_variant_get(v.col, "$", "string") if v.kind == "variant" else v.text
-        numeric = F.when(_variant_kind(v.col).isin("number"), F.try_variant_get(v.col, "$", "double")) if v.kind == "variant" else None
+        text = v.variant("string") if v.kind == "variant" else v.text
+        numeric = F.when(_variant_kind(v.col).isin("number"), v.variant("double")) if v.kind == "variant" else None
         rank = F.when(v.col.isNull(), 3)
         key = F.expr("cast(null as double)")
         if numeric is not None:
@@ -366,9 +376,9 @@ def _truth(v: Value) -> Column:
     if v.kind == "null":
         return F.lit(False)
     if v.kind == "variant":
-        s = F.try_variant_get(v.col, "$", "string")
+        s = v.variant("string")
         k = _variant_kind(v.col)
-        return F.coalesce(F.when(k == "number", F.try_variant_get(v.col, "$", "double") != 0).when(k == "bool", F.try_variant_get(v.col, "$", "boolean")).otherwise(s.isNotNull() & (s != "")), F.lit(False))
+        return F.coalesce(F.when(k == "number", v.variant("double") != 0).when(k == "bool", v.variant("boolean")).otherwise(s.isNotNull() & (s != "")), F.lit(False))
     return v.col.isNotNull()
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..errors import SchemaError
 from ..operators import text as text_ops
+from ..operators.partition import spread
 from ..plans.analyze import PROFILES, Profile
 
 ENVELOPE = ("unit_id", "doc_id", "ordinal", "seq", "content")
@@ -70,7 +71,7 @@ def split_units(docs: Collection, granularity: str, splitter: Callable[[Column],
     """Finer units of a document-grained collection; ids are doc#granularity:ordinal."""
     f = splitter or {"sentence": text_ops.sentences, "chunk": text_ops.chunks, "document": text_ops.whole}[granularity]
     rest = [c for c in docs.metadata_columns()]
-    rows = docs.units.select("doc_id", F.col("seq").alias("__s"), *rest, F.posexplode(f(F.col("content"))).alias("ordinal", "content"))
+    rows = spread(docs.units).select("doc_id", F.col("seq").alias("__s"), *rest, F.posexplode(f(F.col("content"))).alias("ordinal", "content"))
     units = rows.select(F.concat_ws("", F.col("doc_id"), F.lit(f"#{granularity}:"), F.col("ordinal").cast("string")).alias("unit_id"), "doc_id", "ordinal", (F.col("__s") * 1_000_000 + F.col("ordinal")).alias("seq"), "content", *rest)
     return Collection(units, granularity, docs.fields, docs.open_metadata, {}, docs.units.select("doc_id", "content", *rest), docs.profile)
 
