@@ -21,6 +21,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the word pattern that belongs to the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -192,4 +194,4 @@ def encode_documents(documents: DataFrame, vocabulary: str = VOCABULARY, id_col:
                 yield pa.RecordBatch.from_arrays([part.column(0), enc.batch(part.column(1).to_pylist())], names=[id_col, "ids"])
 
     kind = dict(documents.dtypes)[id_col]
-    return documents.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return spread(documents.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")

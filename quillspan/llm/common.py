@@ -8,6 +8,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.partition import spread  # noqa: F401
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; one of our own only where it is unset (tests)."""

@@ -12,9 +12,7 @@ redelivered rows count once; one id delivered with two texts isn't paired with i
 from __future__ import annotations
 
 import hashlib
-import sys
 import unicodedata
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,27 +39,24 @@ def _invisible(ch: str) -> bool:
     return unicodedata.category(ch) == "Cf" or any(a <= ord(ch) <= b for a, b in INVISIBLE)
 
 
-@lru_cache(maxsize=1)
-def _table() -> dict[int, str]:
-    """Every character whose prototype isn't simply its own decomposition, derived by rule."""
-    table: dict[int, str] = {}
-    for cp in range(0x80, sys.maxunicode + 1):
-        if 0xD800 <= cp <= 0xDFFF or 0xE000 <= cp <= 0xF8FF or 0x20000 <= cp <= 0xDFFFF:
-            continue
+class _Prototypes(dict):
+    """Code point -> prototype, derived by rule when a character is first met."""
+
+    def __missing__(self, cp: int) -> str:
         ch = chr(cp)
         if ch in RAISED:
-            continue
-        if _invisible(ch):
-            table[cp] = ""
-        elif unicodedata.category(ch) in ("Zs",):
-            table[cp] = " "
+            out = ch
+        elif _invisible(ch):
+            out = ""
+        elif ch in "\t\v\f" or unicodedata.category(ch) == "Zs":
+            out = " "
         else:
-            flat = unicodedata.normalize("NFKD", ch)
-            proto = "".join(LOOKALIKES.get(c, c) for c in flat if not _invisible(c))
-            if proto != ch:
-                table[cp] = proto
-    table[9] = table[11] = table[12] = " "
-    return table
+            out = "".join(LOOKALIKES.get(c, c) for c in unicodedata.normalize("NFKD", ch) if not _invisible(c))
+        self[cp] = out
+        return out
+
+
+_PROTOTYPES = _Prototypes()
 
 
 def skeleton(text: str | None) -> str | None:
@@ -71,7 +66,7 @@ def skeleton(text: str | None) -> str | None:
     if text.isascii():
         return text.replace("\t", " ").replace("\v", " ").replace("\f", " ")
     # after the replacement only canonical order and composed raised signs are left to settle
-    return unicodedata.normalize("NFD", text.translate(_table()))
+    return unicodedata.normalize("NFD", text.translate(_PROTOTYPES))
 
 
 @F.pandas_udf(T.StringType())

@@ -25,6 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import spread
 from .confusables import skeleton
 
 #: words (characters in zh and ja) of a run, share of a passage that runs must cover
@@ -197,7 +198,7 @@ def leaked_items(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "covered", "question_found", "answer_found"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, item_id bigint, covered double, question_found boolean, answer_found boolean")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, item_id bigint, covered double, question_found boolean, answer_found boolean")
 
 
 def leaks_found(documents: DataFrame, eval_items: DataFrame) -> DataFrame:

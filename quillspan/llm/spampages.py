@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import spread
+
 STATES = ("prose", "links", "tags", "menu")
 SHARE = 0.5
 #: a line's word pairs count as repeated if they stand this often on the page; a line repeats if that share of them do
@@ -170,7 +172,7 @@ def label_pages(documents: DataFrame) -> DataFrame:
             spam = pa.array([bool(s) and 1 - s["prose"] > SHARE for s in shares], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), *cols, spam], names=["doc_id", *STATES, "spam"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, " + ", ".join(f"{s} double" for s in STATES) + ", spam boolean")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, " + ", ".join(f"{s} double" for s in STATES) + ", spam boolean")
 
 
 def spam_pages(documents: DataFrame) -> DataFrame:
