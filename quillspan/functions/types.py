@@ -42,15 +42,19 @@ def date_of(text: str) -> datetime | None:
     return None
 
 
+_EITHER = "(?i)" + NUMBER.removeprefix("(?i)") + "|" + SIGNED_WORD.removeprefix("(?i)")
+
+
 def number_column(text: Column) -> Column:
-    """The same for a column: double, or null."""
-    plain = F.regexp_replace(text, r"[_\s]", "").try_cast("double")
-    return F.when(text.rlike(NUMBER), plain).when(text.rlike(SIGNED_WORD), F.lower(F.trim(text)).try_cast("double"))
+    """The same for a column: double, or null.  The text is evaluated once."""
+    return F.regexp_replace(F.regexp_extract(text, _EITHER, 0), r"[_\s]", "").try_cast("double")
 
 
 def date_column(text: Column) -> Column:
-    hour = F.when(text.rlike(r"[T ][0-9]{2}$"), F.concat(text, F.lit(":00"))).otherwise(text)
-    return F.when(text.rlike(DATE), hour.try_cast("timestamp_ntz")).when(text.rlike(COMPACT), F.try_to_timestamp(text, F.lit("yyyyMMdd")).cast("timestamp_ntz"))
+    """timestamp_ntz, or null; compact dates and bare hours are completed first."""
+    dashed = F.regexp_replace(text, r"^([0-9]{4})([0-9]{2})([0-9]{2})$", "$1-$2-$3")
+    full = F.regexp_replace(dashed, r"^([0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2})$", "$1:00")
+    return F.regexp_extract(full, DATE, 0).try_cast("timestamp_ntz")
 
 
 @dataclass(frozen=True)

@@ -31,6 +31,8 @@ _OPS: dict[str, Callable[[Column, Column], Column]] = {
     ">": lambda a, b: a > b,
     ">=": lambda a, b: a >= b,
 }
+#: null where a side is null, so that coalesce goes on to the next rule
+_PLAIN = _OPS | {"==": lambda a, b: a == b, "!=": lambda a, b: a != b}
 _NAMED = {"text", "number", "bool", "date", "timestamp"}
 
 
@@ -267,8 +269,7 @@ class Compiler:
             return self._either(op, left, right, *dates)
         if dates[0] is None or dates[1] is None or "number" in (left.kind, right.kind):
             return self._either(op, left, right, *numbers)
-        a, b = numbers
-        return F.when(a.isNotNull() & b.isNotNull(), _OPS[op](a, b)).otherwise(self._either(op, left, right, *dates))
+        return F.coalesce(_PLAIN[op](*numbers), self._either(op, left, right, *dates))
 
     def _same(self, op: str, left: Value, right: Value) -> Column:
         """Plain comparison; the literal takes the column's type, never the other way."""
@@ -286,8 +287,7 @@ class Compiler:
         direct = all(v.kind in ("number", "date") or v.is_literal for v in (left, right))
         if direct:
             return _OPS[op](a, b)
-        both = a.isNotNull() & b.isNotNull()
-        return F.when(both, _OPS[op](a, b)).otherwise(self._raw(op, left, right))
+        return F.coalesce(_PLAIN[op](a, b), self._raw(op, left, right))
 
     def _raw(self, op: str, left: Value, right: Value) -> Column:
         """Without coercion: text with text, numbers with booleans; else unequal, and not to be ordered."""

@@ -18,7 +18,7 @@ from .analyze import Analyzed
 from .compile import Compiler, Scope
 from .ir import Query
 
-#: a SPAN of at most so many hits joins them with their neighbours; beyond it a window runs over the units
+#: a SPAN of at most so many hits takes them first and broadcasts them
 SPAN_JOIN = 10_000
 
 
@@ -145,17 +145,24 @@ def _granularity(df: DataFrame, c: Collection, q: Query, keys: list[Column], met
 
 
 def _span(hits: DataFrame, units: DataFrame, window: int, keys: list[Column], early: int | None) -> DataFrame:
-    """Each hit with its neighbours' text.  Few hits: a join with them; many: a range window over all units."""
+    """Each hit with its neighbours' text, by a range join in buckets of ordinals.
+
+    A document's ordinals are cut into buckets, and a hit goes to those that its window
+    touches, so a document with any share of the units is joined in small pieces.  Few
+    hits (a LIMIT) are taken first and broadcast.
+    """
+    width = max(64, 2 * window + 1)
     if early is not None and early <= SPAN_JOIN:
         hits = hits.orderBy(*keys).limit(early)
-        centre = F.broadcast(hits.select("unit_id", F.col("doc_id").alias("__d"), F.col("ordinal").alias("__c")))  # at most SPAN_JOIN rows
-        near = units.join(centre, (F.col("doc_id") == F.col("__d")) & F.col("ordinal").between(F.col("__c") - window, F.col("__c") + window))
-        around = near.groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "content"))).alias("__near"))
-        out = hits.join(around, "unit_id", "left")
-    else:
-        frame = Window.partitionBy("doc_id").orderBy("ordinal").rangeBetween(-window, window)
-        wide = units.select("doc_id", "ordinal", F.collect_list(F.struct("ordinal", "content")).over(frame).alias("__near")).dropDuplicates(["doc_id", "ordinal"])
-        out = hits.join(wide, ["doc_id", "ordinal"], "left")
+    centre = hits.select(F.col("unit_id").alias("__hit"), F.col("doc_id").alias("__d"), F.col("ordinal").alias("__c"))
+    buckets = F.sequence(F.floor((F.col("__c") - window) / width), F.floor((F.col("__c") + window) / width))
+    centre = centre.withColumn("__b", F.explode(buckets))
+    if early is not None and early <= SPAN_JOIN:
+        centre = F.broadcast(centre)  # at most 2 * SPAN_JOIN rows
+    placed = units.select("doc_id", "ordinal", "content", F.floor(F.col("ordinal") / width).alias("__u"))
+    near = placed.join(centre, (F.col("doc_id") == F.col("__d")) & (F.col("__u") == F.col("__b")) & F.col("ordinal").between(F.col("__c") - window, F.col("__c") + window))
+    around = near.groupBy("__hit").agg(F.array_sort(F.collect_list(F.struct("ordinal", "content"))).alias("__near"))
+    out = hits.join(around, F.col("unit_id") == F.col("__hit"), "left").drop("__hit")
     text = F.array_join(F.transform("__near", lambda x: F.coalesce(x["content"], F.lit(""))), " ")
     first, last = F.element_at("__near", 1)["ordinal"], F.element_at("__near", -1)["ordinal"]
     out = out.withColumns({"content": F.coalesce(text, "content"), "span_start": F.coalesce(first, "ordinal"), "span_end": F.coalesce(last, "ordinal"), "kind": F.lit("span")})
