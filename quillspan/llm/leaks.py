@@ -70,6 +70,36 @@ def _terms(tokens: list[str] | str) -> list[str]:
     return tokens if isinstance(tokens, list) else [tokens[i : i + 2] for i in range(len(tokens) - 1)]
 
 
+def _least_score(cost: np.ndarray, size: int, by_chars: bool) -> float:
+    """What a text must score at least that holds runs covering COVER of a passage.
+
+    ``cost`` is each term's weight shared among its places, so a set of places costs at
+    most what the distinct terms in it score.  Dynamic programming over the places, by
+    the number of words covered, inside a run and outside.
+    """
+    run = RUN_CHARS if by_chars else RUN_WORDS
+    terms = run - 1 if by_chars else run  # places that a shortest run takes
+    need = int(np.ceil(COVER * size))
+    total = np.concatenate(([0.0], np.cumsum(cost)))
+    out = np.full((len(cost) + 1, need + 1), np.inf)  # cheapest with so many covered (need: or more), no run open
+    inside = np.full_like(out, np.inf)
+    out[0, 0] = 0
+    for i in range(len(cost) + 1):
+        if i:
+            out[i] = np.minimum(out[i], out[i - 1])
+            grown = inside[i - 1] + cost[i - 1]
+            inside[i, 1:] = np.minimum(inside[i, 1:], grown[:-1])
+            inside[i, need] = min(inside[i, need], grown[need])
+        if i >= terms:
+            begun = out[i - terms] + total[i] - total[i - terms]
+            k = min(run, need)
+            inside[i, k:] = np.minimum(inside[i, k:], begun[: need + 1 - k])
+            inside[i, need] = min(inside[i, need], begun[max(0, need - run) :].min())
+        out[i] = np.minimum(out[i], inside[i])
+    least = out[:, need].min()
+    return float(least) if np.isfinite(least) else float(total[-1])
+
+
 class Index:
     def __init__(self, items: list[tuple[int, str | None, str, str | None, str | None]]):
         self.ids, self.tokens, self.chars, self.extra = [], [], [], []
@@ -95,16 +125,8 @@ class Index:
             weight = {t: idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * size[i] / mean)) for t, f in c.items()}
             for t, w in weight.items():
                 postings[t].append((i, w))
-            # the cheapest terms that fill half of the passage: what a leak scores at least
-            need = COVER * (len(self.tokens[i]) if not self.chars[i] else len(self.tokens[i]) * (RUN_CHARS - 1) / RUN_CHARS)
-            bound = 0.0
-            for w, f in sorted(((w, c[t]) for t, w in weight.items()), key=lambda p: p[0] / p[1]):
-                take = min(need, f)
-                bound += w * take / f
-                need -= take
-                if need <= 0:
-                    break
-            self.threshold[i] = bound * 0.999
+            cost = np.array([weight[t] / c[t] for t in _terms(self.tokens[i])])
+            self.threshold[i] = 0.999 * _least_score(cost, len(self.tokens[i]), self.chars[i])
         self.blocks = -(-n // BLOCK)
         self.block_threshold = np.array([self.threshold[b * BLOCK : (b + 1) * BLOCK].min() for b in range(self.blocks)], np.float32)
         self.vocabulary = {t: k for k, t in enumerate(postings)}
@@ -121,6 +143,7 @@ class Index:
             for p in range(len(t) - run + 1):
                 self.grams[self._gram(t[p : p + run])].append((i, p))
         self.any_chars, self.any_words = any(self.chars), not all(self.chars)
+        self.plain_chars = any(c and t.isascii() for c, t in zip(self.chars, self.tokens))
 
     @staticmethod
     def _gram(part: list[str] | str) -> str:
@@ -148,7 +171,7 @@ class Index:
             return []
         flat = plain(text)
         ws = words(flat) if self.any_words else []
-        cs = letters(flat) if self.any_chars and not flat.isascii() else ""
+        cs = letters(flat) if self.any_chars and (self.plain_chars or not flat.isascii()) else ""
         terms = set(ws)
         if cs:
             terms.update(_terms(cs))
@@ -156,11 +179,13 @@ class Index:
         if not found:
             return []
         cover: dict[int, set[int]] = defaultdict(set)
-        for tokens, run in ((ws, RUN_WORDS), (cs, RUN_CHARS)):
-            for p in range(len(tokens) - run + 1):
-                for i, at in self.grams.get(self._gram(tokens[p : p + run]), ()):
-                    if i in found:
-                        cover[i].update(range(at, at + run))
+        by_chars = {self.chars[i] for i in found}
+        runs = [" ".join(ws[p : p + RUN_WORDS]) for p in range(len(ws) - RUN_WORDS + 1)] if False in by_chars else []
+        runs += [cs[p : p + RUN_CHARS] for p in range(len(cs) - RUN_CHARS + 1)] if True in by_chars else []
+        for gram in self.grams.keys() & set(runs):
+            for i, at in self.grams[gram]:
+                if i in found:
+                    cover[i].update(range(at, at + (RUN_CHARS if self.chars[i] else RUN_WORDS)))
         out = []
         for i, at in sorted(cover.items()):
             share = len(at) / len(self.tokens[i])
