@@ -73,8 +73,15 @@ def _lines(text: str) -> list[str]:
     return [x for x in re.split(r"[\r\n  ]+", text) if x.strip()]
 
 
+def _linked(line: str) -> bool:
+    """Whether the line may hold a link at all; the patterns needn't run on the others."""
+    return "://" in line or "](" in line or "<a" in line or "<A" in line or "www." in line or "WWW." in line
+
+
 def _words(line: str) -> list[str]:
-    return [w.lower() for w in _WORD.findall(_MARKUP.sub(" ", _ANCHOR.sub(_shown, line)))]
+    if _linked(line):
+        line = _ANCHOR.sub(_shown, line)
+    return _WORD.findall((_MARKUP.sub(" ", line) if "<" in line else line).lower())
 
 
 def _shown(m: re.Match) -> str:
@@ -89,8 +96,8 @@ def _label(found: str) -> str:
     return re.sub(r"[\W\d_]+", "", found)
 
 
-def symbols(lines: list[str]) -> list[int]:
-    words = [_words(x) for x in lines]
+def symbols(lines: list[str], words: list[list[str]] | None = None) -> list[int]:
+    words = words or [_words(x) for x in lines]
     count: Counter = Counter()
     for ws in {tuple(ws) for ws in words}:
         count.update(zip(ws, ws[1:]))
@@ -102,10 +109,16 @@ def symbols(lines: list[str]) -> list[int]:
         pairs = list(zip(ws, ws[1:])) or [tuple(ws)]
         again = sum(count[p] >= TIMES for p in pairs) / len(pairs)
         repeated = again >= REPEATS
-        body = html.unescape(_MARKUP.sub(" ", _ANCHOR.sub(" ", line))).strip(" \t-*•#=　")
-        size = len(line.strip())
-        linked = sum(len(m.group()) for m in _ANCHOR.finditer(line))
-        tags = _TAG.findall(line)
+        body, linked, size = line, 0, len(line.strip())
+        if _linked(line):
+            linked = sum(len(m.group()) for m in _ANCHOR.finditer(line))
+            body = _ANCHOR.sub(" ", line)
+        if "<" in body:
+            body = _MARKUP.sub(" ", body)
+        if "&" in body:
+            body = html.unescape(body)
+        body = body.strip(" \t-*•#=　")
+        tags = _TAG.findall(line) if "#" in line else []
         segments = [s for s in _LISTED.split(body) if s.strip()]
         sentences = _ENDS.findall(body)
         if linked > 0.5 * size:
@@ -156,8 +169,9 @@ def page_shares(text: str | None) -> dict[str, float] | None:
     sizes = [len(re.sub(r"\s+", "", x)) for x in lines]
     total = sum(sizes) or 1
     share = dict.fromkeys(STATES, 0.0)
-    weights = [min(MOST_WEIGHT, max(1.0, len(_words(x)) / WORDS_A_LINE)) for x in lines]
-    for k, n in zip(viterbi(symbols(lines), weights), sizes):
+    words = [_words(x) for x in lines]
+    weights = [min(MOST_WEIGHT, max(1.0, len(ws) / WORDS_A_LINE)) for ws in words]
+    for k, n in zip(viterbi(symbols(lines, words), weights), sizes):
         share[STATES[k]] += n / total
     return share
 
