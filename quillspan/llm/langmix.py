@@ -71,7 +71,9 @@ def _drop_technical(m: re.Match) -> str:
 
 def features(sentence: str) -> str:
     """The text whose n-grams count: letters and single blanks, without numbers, addresses and identifiers."""
-    s = unicodedata.normalize("NFKC", _ASCII_RUN.sub(_drop_technical, sentence)).lower()
+    s = _ASCII_RUN.sub(_drop_technical, sentence).lower()
+    if not s.isascii():
+        s = unicodedata.normalize("NFKC", s)
     return " " + " ".join(_NOT_LETTERS.sub(" ", s).split()) + " "
 
 
@@ -254,6 +256,10 @@ def fit_mixture(scores: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np
     # languages that win no sentence outright can't pay for themselves
     winners = np.unique(like.argmax(1))
     keep = np.intersect1d(keep, winners) if len(winners) else keep
+    if len(keep) == 1:  # every sentence is likeliest in one language
+        full = np.zeros(scores.shape[1])
+        full[keep] = 1.0
+        return full, np.broadcast_to(full, scores.shape)
     value, pi = em(keep)
     while len(keep) > 1:
         order = np.argsort(pi)
