@@ -21,6 +21,7 @@ from .plans.analyze import Analyzed, analyze
 from .plans.ir import Query
 from .plans.parse import parse
 from .plans.schema import query_schema, tool
+from .ship import ship
 from .sources.collection import Collection, Store
 from .sources.ingest import Pipeline
 
@@ -30,7 +31,8 @@ class Engine:
 
     ``field_types`` declares the type of metadata fields (text, number, date or a
     registered one).  ``strict`` makes an ordered comparison of incomparable values an
-    error; otherwise it is false.
+    error; otherwise it is false.  ``insertion_order=False`` leaves the rows of a query
+    without ORDER BY, similarity or LIMIT unsorted, which saves a shuffle of the result.
     """
 
     def __init__(
@@ -47,15 +49,16 @@ class Engine:
         reranker: Reranker | None = None,
         rerank_factor: int = 5,
         strict: bool = True,
+        insertion_order: bool = True,
         registry: Registry | None = None,
     ):
         if collection is None and store is None:
             raise PlanError("an engine needs a collection or a store")
-        self.spark, self._collection, self.store = spark, collection, store
+        self.spark, self._collection, self.store = ship(spark), collection, store
         self.embedder, self.named_embedders = embedder, dict(named_embedders or {})
         self.granularity = collection.granularity if collection else granularity
         self.field_types = dict(field_types or {})
-        self.reranker, self.rerank_factor, self.strict = reranker, rerank_factor, strict
+        self.reranker, self.rerank_factor, self.strict, self.insertion_order = reranker, rerank_factor, strict, insertion_order
         self.registry = registry or GLOBAL.child()
         self.pipeline = Pipeline(self.registry, embedder, self.granularity, normalizer)
         self._vector_names: set[str] = set(self.named_embedders)
@@ -99,7 +102,7 @@ class Engine:
         a = self._analyze(self.query(q, limit))
         given = vectors or {}
         query_vectors = {k: list(given[s.text]) if s.text in given else self._vector(s.vector, s.text) for k, s in a.scorers.items()}
-        settings = plan.Settings(self.registry, self.field_types, self.strict, reranker or self.reranker, rerank_query, self.rerank_factor)
+        settings = plan.Settings(self.registry, self.field_types, self.strict, reranker or self.reranker, rerank_query, self.rerank_factor, self.insertion_order)
         return plan.build(a, self.collection, query_vectors, settings)
 
     def search_ir(self, document: Mapping[str, Any], limit: int | None = None) -> DataFrame:

@@ -78,7 +78,7 @@ def units_or_null(spark: SparkSession, d: str) -> Collection:
 
 
 def search(c: Collection, text: str, *columns: str, **how) -> DataFrame:
-    e = Engine(c.units.sparkSession, c, **{k: how.pop(k) for k in list(how) if k in ("field_types", "strict", "embedder", "reranker", "registry")})
+    e = Engine(c.units.sparkSession, c, insertion_order=False, **{k: how.pop(k) for k in list(how) if k in ("field_types", "strict", "embedder", "reranker", "registry")})
     for name, ext in how.pop("functions", {}).items():
         e.register_function(name, **ext)
     for name, ext in how.pop("types", {}).items():

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from datetime import date, datetime
+from math import ceil, floor
 from typing import Any
 
 from pyspark.sql import Column
@@ -31,6 +32,7 @@ _OPS: dict[str, Callable[[Column, Column], Column]] = {
     ">": lambda a, b: a > b,
     ">=": lambda a, b: a >= b,
 }
+_MIRRORED = {"<": ">", ">": "<", "<=": ">=", ">=": "<=", "==": "==", "!=": "!="}
 #: null where a side is null, so that coalesce goes on to the next rule
 _PLAIN = _OPS | {"==": lambda a, b: a == b, "!=": lambda a, b: a != b}
 _NAMED = {"text", "number", "bool", "date", "timestamp"}
@@ -275,9 +277,12 @@ class Compiler:
         """Plain comparison; the literal takes the column's type, never the other way."""
         a, b = left.col, right.col
         if left.kind == "number":
-            for v, o in ((left, right), (right, left)):
-                if v.is_literal and isinstance(o.type, T.FractionalType) and not isinstance(o.type, T.DecimalType):
-                    a, b = (F.lit(float(v.literal)), b) if v is left else (a, F.lit(float(v.literal)))
+            if left.is_literal and not right.is_literal:
+                return self._same(_MIRRORED[op], right, left)
+            if right.is_literal and isinstance(left.type, T.FractionalType) and not isinstance(left.type, T.DecimalType):
+                b = F.lit(float(right.literal))
+            elif right.is_literal and isinstance(left.type, T.IntegralType) and isinstance(right.literal, float):
+                return _whole(op, a, right.literal)
         return _OPS[op](a, b)
 
     def _either(self, op: str, left: Value, right: Value, a: Column | None, b: Column | None) -> Column:
@@ -366,6 +371,15 @@ class Compiler:
         return v
 
 
+def _whole(op: str, a: Column, x: float) -> Column:
+    """An integer column against a literal with a fraction, as a comparison of integers, which scans can push."""
+    if x == int(x):
+        return _OPS[op](a, F.lit(int(x)))
+    if op in ("==", "!="):
+        return F.lit(op == "!=")
+    return a <= F.lit(floor(x)) if op in ("<", "<=") else a >= F.lit(ceil(x))
+
+
 def _truth(v: Value) -> Column:
     if v.kind == "bool":
         return F.coalesce(v.col, F.lit(False))

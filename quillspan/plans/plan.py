@@ -30,6 +30,7 @@ class Settings:
     reranker: rerank_ops.Reranker | None = None
     rerank_query: str | None = None
     rerank_factor: int = 5
+    insertion_order: bool = True
 
 
 def check_granularity(query: Query, indexed: str) -> None:
@@ -88,7 +89,8 @@ def build(a: Analyzed, c: Collection, query_vectors: Mapping[str, list[float]],
             df = df.orderBy(*keys).limit(early)
         df = df.withColumn("__rerank", s.reranker.score(text, F.col("content")))
         keys = [F.desc("__rerank"), *keys]
-    df = df.orderBy(*keys)
+    if s.insertion_order or q.order_by or scores or q.limit is not None:
+        df = df.orderBy(*keys)
     if q.limit is not None:
         df = df.limit(q.limit)
     span = [x for x in ("span_start", "span_end") if x in df.columns]
@@ -149,21 +151,21 @@ def _span(hits: DataFrame, units: DataFrame, window: int, keys: list[Column], ea
 
     A document's ordinals are cut into buckets, and a hit goes to those that its window
     touches, so a document with any share of the units is joined in small pieces.  Few
-    hits (a LIMIT) are taken first and broadcast.
+    hits (a LIMIT) are taken first and broadcast.  The hits enter the plan once, with all
+    their columns, so that nothing they need (scores, embeddings) is computed twice.
     """
     width = max(64, 2 * window + 1)
-    if early is not None and early <= SPAN_JOIN:
+    few = early is not None and early <= SPAN_JOIN
+    if few:
         hits = hits.orderBy(*keys).limit(early)
-    centre = hits.select(F.col("unit_id").alias("__hit"), F.col("doc_id").alias("__d"), F.col("ordinal").alias("__c"))
-    buckets = F.sequence(F.floor((F.col("__c") - window) / width), F.floor((F.col("__c") + window) / width))
-    centre = centre.withColumn("__b", F.explode(buckets))
-    if early is not None and early <= SPAN_JOIN:
+    buckets = F.sequence(F.floor((F.col("ordinal") - window) / width), F.floor((F.col("ordinal") + window) / width))
+    centre = hits.withColumn("__b", F.explode(buckets))
+    if few:
         centre = F.broadcast(centre)  # at most 2 * SPAN_JOIN rows
-    placed = units.select("doc_id", "ordinal", "content", F.floor(F.col("ordinal") / width).alias("__u"))
-    near = placed.join(centre, (F.col("doc_id") == F.col("__d")) & (F.col("__u") == F.col("__b")) & F.col("ordinal").between(F.col("__c") - window, F.col("__c") + window))
-    around = near.groupBy("__hit").agg(F.array_sort(F.collect_list(F.struct("ordinal", "content"))).alias("__near"))
-    out = hits.join(around, F.col("unit_id") == F.col("__hit"), "left").drop("__hit")
-    text = F.array_join(F.transform("__near", lambda x: F.coalesce(x["content"], F.lit(""))), " ")
-    first, last = F.element_at("__near", 1)["ordinal"], F.element_at("__near", -1)["ordinal"]
-    out = out.withColumns({"content": F.coalesce(text, "content"), "span_start": F.coalesce(first, "ordinal"), "span_end": F.coalesce(last, "ordinal"), "kind": F.lit("span")})
+    placed = units.select(F.col("doc_id").alias("__d"), F.col("ordinal").alias("__o"), F.col("content").alias("__t"), F.floor(F.col("ordinal") / width).alias("__u"))
+    near = placed.join(centre, (F.col("doc_id") == F.col("__d")) & (F.col("__u") == F.col("__b")) & F.col("__o").between(F.col("ordinal") - window, F.col("ordinal") + window))
+    carried = [F.first(c).alias(c) for c in hits.columns if c != "unit_id"]
+    out = near.groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("__o", "__t"))).alias("__near"), *carried)
+    text = F.array_join(F.transform("__near", lambda x: F.coalesce(x["__t"], F.lit(""))), " ")
+    out = out.withColumns({"content": text, "span_start": F.element_at("__near", 1)["__o"], "span_end": F.element_at("__near", -1)["__o"], "kind": F.lit("span")})
     return out.withColumn("unit_id", F.concat("doc_id", F.lit("#span:"), F.col("ordinal").cast("string"), F.lit(f"~{window}"))).drop("__near")

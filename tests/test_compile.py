@@ -114,9 +114,9 @@ def test_order_of_mixed_strings(spark, coll):
 
 def test_typed_comparisons_reach_the_scan(spark, data):
     c = of_table(spark.read.parquet(f"{data}/documents.parquet"), "doc_id", "text", ["lang", "n_chars"])
-    plan = Engine(spark, c).search('SELECT DOCUMENT WHERE meta.lang == "en" AND n_chars >= 100').select("unit_id")._jdf.queryExecution().executedPlan().toString()
+    plan = Engine(spark, c).search('SELECT DOCUMENT WHERE meta.lang == "en" AND n_chars >= 100 AND n_chars < 900.5').select("unit_id")._jdf.queryExecution().executedPlan().toString()
     pushed = plan.split("PushedFilters: [")[1].split("]")[0]
-    assert "EqualNullSafe(lang,en)" in pushed and "GreaterThanOrEqual(n_chars,100)" in pushed
+    assert "EqualNullSafe(lang,en)" in pushed and "GreaterThanOrEqual(n_chars,100)" in pushed and "LessThanOrEqual(n_chars,900)" in pushed
     assert "text" not in plan.split("ReadSchema: ")[1].split("\n")[0]
 
 
