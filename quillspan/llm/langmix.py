@@ -33,6 +33,8 @@ ORDERS, ALPHA, PENALTY, TEMPER, SAMPLE_LIMIT = (1, 2, 3, 4), 0.3, 5.0, 0.5, 2000
 EM_ROUNDS = 12
 #: labelled documents a label, and their greatest length, that the second fit takes
 LABELLED_LIMIT, LABELLED_CHARS = 60, 4000
+#: share of a labelled document's sentences on which label and first model must agree for all of them to count
+MOSTLY = 0.7
 #: letters of a word that count
 WORD_CHARS = 40
 #: least share of a Latin sentence's longest n-grams that its best language must know
@@ -339,11 +341,23 @@ _ARROW = pa.schema(
 
 
 def refine(model: Model, samples: list[tuple[str, str]], labelled: list[tuple[str, list[str | None]]]) -> Model:
-    """Fit again with the sentences of labelled documents on which label and first model agree."""
-    flat = [(lang, s) for lang, texts in labelled if lang in model.langs for *_, s in sentences_with_language(texts)]
-    ll, ok = model.scores([s for _, s in flat])
-    agree = ok & (ll.argmax(1) == np.array([model.langs.index(lang) for lang, _ in flat], int)) if flat else ok
-    return Model(samples + [x for x, good in zip(flat, agree) if good])
+    """Fit again with the sentences of labelled documents.
+
+    Where label and first model agree on at least MOSTLY of a document's sentences all
+    of them count, so that wordings the samples lack are learned; else only those on
+    which they agree, as the label may be wrong or the document mixed.
+    """
+    docs = [(lang, [s for *_, s in sentences_with_language(texts)]) for lang, texts in labelled if lang in model.langs]
+    flat = [s for _, part in docs for s in part]
+    ll, ok = model.scores(flat)
+    best = ll.argmax(1)
+    more, at = [], 0
+    for lang, part in docs:
+        use, agree = ok[at : at + len(part)], best[at : at + len(part)] == model.langs.index(lang)
+        whole = use.any() and agree[use].mean() >= MOSTLY
+        more += [(lang, s) for s, u, a in zip(part, use, agree) if u and (a or whole)]
+        at += len(part)
+    return Model(samples + more)
 
 
 def fit_model(store_docs: DataFrame, lang_samples: DataFrame, sample_limit: int = SAMPLE_LIMIT, labelled_limit: int = LABELLED_LIMIT) -> Model:
