@@ -50,7 +50,7 @@ THREE = {
 _NONE = ("und", "mul", "zxx", "mis", "xx")
 
 _LOG_LINE = re.compile(
-    r"\s*(?:\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\[?\d\d:\d\d:\d\d\b|0x[0-9a-fA-F]+\b|(?:INFO|WARN|WARNING|ERROR|DEBUG|TRACE)\b|data:\w+/|(?:def|class|import|from|return|for|while|if)\b.*[:()=\[\]]|[\d\s;,.:|+*/=x-]+$|(?:\S+=\S+\s*){2,}$)"
+    r"\s*(?:\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\[?\d\d:\d\d:\d\d\b|0x[0-9a-fA-F]+\b|(?:INFO|WARN|WARNING|ERROR|DEBUG|TRACE)\b|data:\w+/|(?:def|class|import|from|return|for|while|if)\b.*[:()=\[\]]|[\d\s;,.:|+*/=x-]+$|(?:[^\s=]+=\S+(?:\s+|$)){2,}$)"
 )
 _ASCII_RUN = re.compile(r"[!-~]+")
 _TECHNICAL = re.compile(r"[0-9_/\\@=<>{}]|\w\.\w")

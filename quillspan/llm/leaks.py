@@ -37,7 +37,7 @@ BLOCK = 16
 MOST_ITEMS, MOST_CHARS = 200_000, 200_000_000
 
 _BLOCK_TAG = re.compile(r"</?(?:p|br|div|li|ul|ol|tr|td|th|table|h[1-6]|pre|blockquote|section|article)\b[^<>]*>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z][^<>]*>|<!--.*?-->", re.S)
+_TAG = re.compile(r"</?[a-zA-Z][^<>]*>|<!--(?:(?!<!--).)*?-->", re.S)
 _LINE_NO = re.compile(r"(?m)^[ \t >]*(?:\d{1,5}[ \t ]*[|│:)\]]|\[\d{1,5}\]|[>|])[ \t ]+")
 _WORD = regex.compile(r"[\p{L}\p{N}\p{M}_]+(?:[.,'’:\-‐‑/][\p{L}\p{N}\p{M}_]+)*")
 _INNER = regex.compile(r"[^\p{L}\p{N}]")

@@ -54,6 +54,10 @@ CJK_END = set("。！？｡")
 HARD_END = set("।؟॥۔")
 
 
+#: characters looked at before a mark, and times a line is read again for openers that never close
+LONGEST_ABBREVIATION, MOST_RESCANS = 24, 20
+
+
 def _trie(words: list[str]) -> dict:
     """Characters read backwards from the mark, so that one walk finds the longest abbreviation."""
     root: dict = {}
@@ -113,10 +117,15 @@ def _prose(line: str, base: int, out: list[tuple[int, int]]) -> None:
     dead: set[int] = set()  # openers that never close on this line
     letters = [c for c in line if c.isalpha()]
     capitals = len(letters) > 12 and sum(c.isupper() for c in letters) > 0.9 * sum(c.isupper() or c.islower() for c in letters) > 0
+    inward = line.rfind("«")
+    again = 0
     while begin < n:
-        end, stuck = _next_end(line, begin, n, dead, capitals)
-        if stuck >= 0:
-            dead.add(stuck)
+        end, stuck = _next_end(line, begin, n, dead, capitals, inward)
+        if stuck:
+            again += 1
+            dead.update(stuck)
+            if again > MOST_RESCANS:  # hopelessly nested: quotation marks on this line mean nothing
+                dead = range(n)  # type: ignore[assignment]
             continue
         out.append((base + begin, base + end))
         begin = end
@@ -124,8 +133,8 @@ def _prose(line: str, base: int, out: list[tuple[int, int]]) -> None:
             begin += 1
 
 
-def _next_end(line: str, begin: int, n: int, dead: set[int], capitals: bool) -> tuple[int, int]:
-    """End of the sentence that starts at begin; or the position of an opener that is never closed."""
+def _next_end(line: str, begin: int, n: int, dead: set[int], capitals: bool, inward: int) -> tuple[int, list[int]]:
+    """End of the sentence that starts at begin; or the positions of openers that are never closed."""
     stack: list[tuple[str, int]] = []
     skip = begin
     for m in _EVENT.finditer(line, begin):
@@ -134,7 +143,7 @@ def _next_end(line: str, begin: int, n: int, dead: set[int], capitals: bool) ->
             continue
         if ch == " ":  # between two Thai letters
             if not stack:
-                return i, -1
+                return i, []
             continue
         if stack and _closes(ch, stack[-1][0], line, i):
             opener, at = stack.pop()
@@ -142,35 +151,35 @@ def _next_end(line: str, begin: int, n: int, dead: set[int], capitals: bool) ->
                 continue
             end = _after_close(line, begin, at, i, n, opener, capitals)
             if end:
-                return end, -1
+                return end, []
             skip = i + 1
             continue
         if ch in PAIRS or ch in '"»':
-            if i not in dead and _opens(ch, line, i, begin):
+            if i not in dead and _opens(ch, line, i, begin, inward):
                 stack.append((ch, i))
             continue
         if ch in CLOSERS or stack:
             continue
         end = _terminates(line, begin, i, n, capitals)
         if end:
-            return end, -1
+            return end, []
         j = i + 1
         while j < n and line[j] in ".!?…。！？":
             j += 1
         skip = j
     if stack:
-        return -1, stack[0][1]
+        return -1, [at for _, at in stack]
     end = n
     while end > begin and line[end - 1].isspace():
         end -= 1
-    return end, -1
+    return end, []
 
 
-def _opens(ch: str, line: str, i: int, begin: int) -> bool:
+def _opens(ch: str, line: str, i: int, begin: int, inward: int) -> bool:
     if ch == '"':
         return (i == begin or not line[i - 1].isalnum()) and i + 1 < len(line) and not line[i + 1].isspace()
     if ch == "»":  # the German inward form
-        return "«" in line[i + 1 :] and (i == begin or line[i - 1].isspace()) and i + 1 < len(line) and not line[i + 1].isspace()
+        return inward > i and (i == begin or line[i - 1].isspace()) and i + 1 < len(line) and not line[i + 1].isspace()
     if ch == "‘":
         return i == begin or not line[i - 1].isalnum()
     return True
@@ -274,7 +283,7 @@ def _terminates(line: str, begin: int, i: int, n: int, capitals: bool) -> int:
         if kind == "o" and before and _cased(before) == "o" and follow > "\u02ff":
             return end if not _abbrev_any(line, begin, i) else 0
         return end if follow in "“„«「『¿¡" else 0
-    m = _WORD_BACK.search(line, begin, i)
+    m = _WORD_BACK.search(line, max(begin, i - LONGEST_ABBREVIATION), i)
     start = m.start() if m else i
     word = line[start:i]
     if kind == "l":
@@ -310,9 +319,9 @@ _COMPANY = re.compile(r"(?:ltd|inc|llc|kg|s\.a)\b", re.I)
 def _technical(line: str, i: int, k: int) -> bool:
     """A stop inside a file name, host or identifier."""
     a, b = i, k
-    while a and not line[a - 1].isspace():
+    while a > i - 60 and a and not line[a - 1].isspace():
         a -= 1
-    while b < len(line) and not line[b].isspace():
+    while b < k + 60 and b < len(line) and not line[b].isspace():
         b += 1
     token = line[a:b]
     return "/" in token or "_" in token or "@" in token or "=" in token or "(" in token

@@ -31,7 +31,7 @@ REPEATS_CURT = 0.4
 #: words that make a line of usual length, and the most usual lines that a long one counts for
 WORDS_A_LINE, MOST_WEIGHT = 14, 5.0
 
-_ANCHOR = re.compile(r"<a\b[^>]*>.*?</a>|\[[^\]\n]*\]\(\s*\S+?\s*\)|(?:https?|ftp)://[^\s<>\"')\]]+|www\.[^\s<>\"')\]]+", re.I | re.S)
+_ANCHOR = re.compile(r"<a\b[^<>]*>(?:(?!<a\b).){0,2000}?</a>|\[[^\[\]\n]*\]\(\s*[^()\s]+\s*\)|(?:https?|ftp)://[^\s<>\"')\]]+|www\.[^\s<>\"')\]]+", re.I | re.S)
 _MARKUP = re.compile(r"</?[a-zA-Z][^<>]*>")
 _WORD = re.compile(r"\w+(?:[-'’]\w+)*")
 _MENU = re.compile(r"\s+[>|»/·•→]\s+")

@@ -244,3 +244,21 @@ def test_grouped_anchors_find_nearly_the_same_cells(monkeypatch):
     monkeypatch.setattr(nearest, "FLAT", 100)
     grouped, _ = nearest.Router(a).nearest(a[:200], 4)
     assert (grouped[:, 0] == flat[:, 0]).mean() > 0.95
+
+
+HOSTILE = ["“a. ", "(", "Dr. ", "<a ", "<a href=x>", "[", "[x](", "<!--", "a=b", "a=b ", "» ", "a.B", "“ « ( \" ", "á", "字。", "1 | a\n"]
+
+
+@pytest.mark.parametrize("part", HOSTILE)
+def test_hostile_long_texts_take_linear_time(part):
+    import time
+
+    text = part * 12_000
+    t = time.perf_counter()
+    spans = sentences.sentence_spans(text)
+    assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))
+    assert all(0 < b - a <= 900 for a, b in splitting.pieces(text, 900, 90))
+    spampages.page_shares(text)
+    leaks.words(leaks.plain(text))
+    langmix.sentences_with_language([text])
+    assert time.perf_counter() - t < 10
