@@ -349,6 +349,8 @@ def refine(model: Model, samples: list[tuple[str, str]], labelled: list[tuple[st
     """
     docs = [(lang, [s for *_, s in sentences_with_language(texts)]) for lang, texts in labelled if lang in model.langs]
     flat = [s for _, part in docs for s in part]
+    if not flat:
+        return model
     ll, ok = model.scores(flat)
     best = ll.argmax(1)
     more, at = [], 0
