@@ -18,6 +18,7 @@ from ..operators.rerank import TokenOverlap, overlap
 from ..sources.collection import Collection, of_table, split_units, upsert
 from . import translate
 from .parse import parse
+from .plan import neighbours
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -490,6 +491,14 @@ def _(s, d):
     return centre.where(F.col("ordinal").between(3, 7) & (F.floor(F.col("seq") / 1_000_000) % 20 == 0)).select("doc_id", "ordinal", "content")
 
 
+@_query("neighbour_range", f"""WITH {_SENT}, hit AS (SELECT doc_id, ordinal FROM sent WHERE contains(lower(content), 'harbour'))
+    SELECT h.doc_id, CAST(h.ordinal AS INTEGER) AS centre, CAST(u.ordinal AS INTEGER) AS ordinal, u.content FROM hit h JOIN sent u ON u.doc_id = h.doc_id AND u.ordinal BETWEEN h.ordinal - 2 AND h.ordinal + 2""")
+def _(s, d):
+    c = split_units(documents(s, d), "sentence")
+    hits = search(c, 'SELECT SENTENCE WHERE content CONTAINS "harbour"', "doc_id", "ordinal")
+    return neighbours(hits, c.units, 2)
+
+
 # without SQL: rows only
 
 

@@ -169,3 +169,17 @@ def _span(hits: DataFrame, units: DataFrame, window: int, keys: list[Column], ea
     text = F.array_join(F.transform("__near", lambda x: F.coalesce(x["__t"], F.lit(""))), " ")
     out = out.withColumns({"content": text, "span_start": F.element_at("__near", 1)["__o"], "span_end": F.element_at("__near", -1)["__o"], "kind": F.lit("span")})
     return out.withColumn("unit_id", F.concat("doc_id", F.lit("#span:"), F.col("ordinal").cast("string"), F.lit(f"~{window}"))).drop("__near")
+
+
+def neighbours(hits: DataFrame, units: DataFrame, window: int) -> DataFrame:
+    """(doc_id, centre, ordinal, content): the units within ``window`` ordinals of every hit (doc_id, ordinal), itself too.
+
+    The range join of ``_span``, in buckets of ordinals, with a row a neighbour; a hit
+    that isn't there gives nothing.
+    """
+    width = max(64, 2 * window + 1)
+    buckets = F.sequence(F.floor((F.col("ordinal") - window) / width), F.floor((F.col("ordinal") + window) / width))
+    centre = hits.select(F.col("doc_id").alias("__d"), F.col("ordinal").alias("centre"), F.explode(buckets).alias("__b"))
+    placed = units.select("doc_id", "ordinal", "content", F.floor(F.col("ordinal") / width).alias("__u"))
+    near = placed.join(centre, (F.col("doc_id") == F.col("__d")) & (F.col("__u") == F.col("__b")) & F.col("ordinal").between(F.col("centre") - window, F.col("centre") + window))
+    return near.select("doc_id", "centre", "ordinal", "content")

@@ -12,6 +12,8 @@ from quillspan.functions.registry import Registry, Signature
 from quillspan.operators import metrics, vectors
 from quillspan.operators.embed import HashEmbedder, HttpEmbedder, MultimodalHttpEmbedder, cache_key, driver_key, embed_cached, embed_column, image_uri, unit_rows, unit_vector
 from quillspan.operators.rerank import TokenOverlap, overlap
+from quillspan.plans import catalogue
+from quillspan.plans.plan import neighbours
 from quillspan.sources.collection import PROFILES, Collection, Store, check_vectors, of_table, split_units, upsert
 from quillspan.sources.files import docx_text, load_documents, loader_for, register_loader
 from quillspan.streaming.ingest import ingest_stream
@@ -283,3 +285,17 @@ def test_upsert(spark):
     a = spark.createDataFrame([("x", 1, "old"), ("y", 1, "keep")], "k string, seq int, v string")
     b = spark.createDataFrame([("x", 2, "new"), ("z", 2, None)], "k string, seq int, v string")
     assert sorted(tuple(r) for r in upsert(a, b, "k", "seq").select("k", "v").collect()) == [("x", "new"), ("y", "keep"), ("z", None)]
+
+
+def test_neighbours_need_a_centre(spark):
+    u = spark.createDataFrame([(d, i, f"{d}{i}") for d, n in (("a", 140), ("b", 5), ("c", 7)) for i in range(n)], "doc_id string, ordinal int, content string")
+    hits = u.where("ordinal in (5, 63, 64)").select("doc_id", "ordinal")
+    got = sorted(tuple(r) for r in neighbours(hits, u, 2).collect())
+    want = [("a", c, i, f"a{i}") for c in (5, 63, 64) for i in range(c - 2, c + 3)] + [("c", 5, i, f"c{i}") for i in (3, 4, 5, 6)]
+    assert got == want  # b has the sentences 3 and 4, but no centre
+
+
+def test_neighbour_range_covers_all_documents(spark, data):
+    q = catalogue.queries()["neighbour_range"](spark, data)
+    assert q.where("cast(doc_id as bigint) % 20 != 0").count() > 0
+    assert q.groupBy("doc_id", "centre").agg(F.max((F.col("ordinal") == F.col("centre")).cast("int")).alias("there")).where("there = 0").count() == 0
