@@ -98,14 +98,17 @@ def batch_top_k(df: DataFrame, ident: str, vector: str, queries: DataFrame, k: i
 
 
 class CellIndex:
-    """Approximate layout: rows partitioned by their nearest centre; a query reads the cells nearest to it.
+    """Layout by cells: rows partitioned by their nearest centre; a query reads the cells nearest to it.
 
     Centres are fitted by Spark ML's k-means on a bounded sample (``sample`` rows); every
-    row is placed.  ``probes`` trades recall for reading.
+    row is placed.  ``search`` is approximate, ``probes`` trades recall for reading;
+    ``batch_search`` reads further until no unread cell can hold a better row, by the
+    ``radii`` of the cells (without them it reads all).
     """
 
-    def __init__(self, path: str, centres: np.ndarray, vector: str):
+    def __init__(self, path: str, centres: np.ndarray, vector: str, radii: np.ndarray | None = None):
         self.path, self.centres, self.vector = path, centres, vector
+        self.radii = np.full(len(centres), np.inf) if radii is None else radii
 
     @classmethod
     def build(cls, df: DataFrame, vector: str, path: str, cells: int = 64, sample: int = 200_000, seed: int = 7) -> CellIndex:
@@ -119,7 +122,10 @@ class CellIndex:
         model = KMeans(k=min(cells, max(2, n)), seed=seed, maxIter=10).fit(part)
         centres = np.array(model.clusterCenters())
         cls(path, centres, vector)._place(df).write.mode("overwrite").partitionBy("cell").parquet(path)
-        return cls(path, centres, vector)
+        radii = np.zeros(len(centres))
+        for r in df.sparkSession.read.parquet(path).groupBy("cell").agg(F.max(cls(path, centres, vector)._distance()).alias("far")).collect():
+            radii[r.cell] = r.far
+        return cls(path, centres, vector, radii)
 
     def _place(self, df: DataFrame) -> DataFrame:
         c = self.centres
@@ -133,14 +139,72 @@ class CellIndex:
         run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
         return df.withColumn("cell", F.pandas_udf(run, T.IntegerType())(F.col(self.vector)))
 
+    def _distance(self) -> Column:
+        """Of a placed row from the centre of its cell."""
+        c = self.centres
+
+        def run(vec: pd.Series, cell: pd.Series) -> pd.Series:
+            m = np.stack(vec.to_list()).astype(np.float64) if len(vec) else np.zeros((0, c.shape[1]))
+            return pd.Series(np.sqrt(((m - c[cell.to_numpy()]) ** 2).sum(1)))
+
+        run.__annotations__ = {"vec": pd.Series, "cell": pd.Series, "return": pd.Series}
+        return F.pandas_udf(run, T.DoubleType())(F.col(self.vector), F.col("cell"))
+
     def search(self, spark, query: Sequence[float], k: int, probes: int = 8, condition: Column | None = None, tie: Sequence[str] = ()) -> DataFrame:
-        """Partition pruning reads only the probed cells; more are probed while a filter leaves fewer than k."""
+        """Partition pruning reads only the probed cells; more are probed while they leave fewer than k."""
         q = np.asarray(query, np.float64)
         order = np.argsort(((self.centres - q) ** 2).sum(1), kind="stable")
         df = spark.read.parquet(self.path)
         while True:
             part = df.where(F.col("cell").isin([int(x) for x in order[:probes]]))
             part = part if condition is None else part.where(condition)
-            if probes >= len(order) or condition is None or part.limit(k).count() >= k:
+            if probes >= len(order) or part.limit(k).count() >= k:
                 return top_k(part, self.vector, list(q), k, tie)
             probes *= 2
+
+    def batch_search(self, spark, ident: str, queries: DataFrame, k: int, probes: int = 8, block: int = 1024) -> DataFrame:
+        """(query_id, *ident*, score, rank): the k best of all rows for every query vector, none lost.
+
+        The nearest ``probes`` cells give each query the score to beat.  A row of a cell
+        scores at most the centre's product plus the radius times the query's length, so
+        the cells that may still hold a better or equal row are searched, and only those.
+        """
+        rows = queries.select("query_id", "vector").collect()
+        ids = np.array([r.query_id for r in rows], np.int64)
+        q = np.array([r.vector for r in rows], np.float64).reshape(len(rows), self.centres.shape[1])
+        distance = (self.centres * self.centres).sum(1) - 2 * q @ self.centres.T
+        nearest = np.argsort(distance, 1, kind="stable")[:, :probes]
+        reach = np.zeros(distance.shape, bool)
+        np.put_along_axis(reach, nearest, True, 1)
+        first = self._found(spark, ident, ids, q, reach, k, block).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+        beat = {r.query_id: r.least for r in first.where(F.col("n") >= k).collect()}
+        floor = np.array([beat.get(int(i), -np.inf) for i in ids]).reshape(-1, 1)
+        bound = q @ self.centres.T + np.linalg.norm(q, axis=1)[:, None] * self.radii
+        return self._found(spark, ident, ids, q, bound >= floor - 1e-6, k, block)
+
+    def _found(self, spark, ident: str, ids: np.ndarray, q: np.ndarray, reach: np.ndarray, k: int, block: int) -> DataFrame:
+        """The k best rows of each query among the cells it reaches."""
+        shared = spark.sparkContext.broadcast((ids, q, reach))
+        df = spark.read.parquet(self.path)
+        kind = dict(df.dtypes)[ident]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, vectors, cells = shared.value
+            for whole in batches:
+                for cell, pdf in whole.groupby("cell"):
+                    m = np.stack(pdf["v"].to_list()).astype(np.float64)
+                    key = pdf["i"].to_numpy()
+                    asked = np.flatnonzero(cells[:, cell])
+                    for s in range(0, len(asked), block):
+                        some = asked[s : s + block]
+                        sim = vectors[some] @ m.T
+                        n = min(k, sim.shape[1])
+                        # ties at the edge stay in, so that the final order decides
+                        edge = np.partition(sim, sim.shape[1] - n, 1)[:, sim.shape[1] - n]
+                        a, b = np.nonzero(sim >= edge[:, None])
+                        yield pd.DataFrame({"query_id": names[some[a]], ident: key[b], "score": sim[a, b]})
+
+        read = df.where(F.col("cell").isin([int(x) for x in np.flatnonzero(reach.any(0))]))
+        found = read.select(F.col(ident).alias("i"), F.col(self.vector).alias("v"), "cell").mapInPandas(run, f"query_id bigint, `{ident}` {kind}, score double")
+        by = Window.partitionBy("query_id").orderBy(F.desc("score"), ident)
+        return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)

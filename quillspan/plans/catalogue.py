@@ -533,7 +533,8 @@ def _(s, d):
     root = (s.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}").rstrip("/")
     e = table(s, d, "embeddings")
     index = vectors.CellIndex.build(e, "embedding", f"{root}/cells-{uuid.uuid4().hex}", cells=16)
-    return index.search(s, vector_of(s, d, 0), 10, probes=8, tie=("vec_id",)).select("vec_id", "score")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return index.batch_search(s, "vec_id", q, 10, probes=8)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -299,3 +299,25 @@ def test_neighbour_range_covers_all_documents(spark, data):
     q = catalogue.queries()["neighbour_range"](spark, data)
     assert q.where("cast(doc_id as bigint) % 20 != 0").count() > 0
     assert q.groupBy("doc_id", "centre").agg(F.max((F.col("ordinal") == F.col("centre")).cast("int")).alias("there")).where("there = 0").count() == 0
+
+
+def test_cell_index_search_of_a_set_is_exact(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    m = unit_rows(np.concatenate([rng.standard_normal((200, 16)), np.repeat(rng.standard_normal((4, 16)), 40, 0) + 0.01 * rng.standard_normal((160, 16))]))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, v array<float>")
+    index = vectors.CellIndex.build(df, "v", str(tmp_path / "i"), cells=8)
+    qs = df.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("vector"))
+    want = {(r.query_id, r.id, r["rank"]) for r in vectors.batch_top_k(df, "id", "v", qs, 10).collect()}
+    for probes in (1, 3):
+        assert {(r.query_id, r.id, r["rank"]) for r in index.batch_search(spark, "id", qs, 10, probes=probes).collect()} == want
+    assert {(r.query_id, r.id, r["rank"]) for r in vectors.CellIndex(index.path, index.centres, "v").batch_search(spark, "id", qs, 10, probes=1).collect()} == want
+    assert index.batch_search(spark, "id", qs.limit(0), 10).count() == 0
+    assert index.search(spark, m[0].tolist(), 300, probes=1).count() == 300
+
+
+def test_cell_index_topk_recall(spark, data):
+    got = {(r.query_id, r.vec_id) for r in catalogue.queries()["cell_index_topk"](spark, data).collect()}
+    e = spark.read.parquet(f"{data}/embeddings.parquet")
+    qs = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    want = {(r.query_id, r.vec_id) for r in vectors.batch_top_k(e, "vec_id", "embedding", qs, 10).collect()}
+    assert len(want) == 10 * qs.count() and len(got & want) >= 0.9 * len(want)
