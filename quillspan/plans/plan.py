@@ -128,9 +128,7 @@ def _granularity(df: DataFrame, c: Collection, q: Query, keys: list[Column], met
         text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__r", "content"))), lambda x: x["content"]), " ")
         out = ranked.groupBy("doc_id").agg(text.alias("content"), *carried)
         return out.select(F.concat("doc_id", F.lit("#chunk")).alias("unit_id"), "doc_id", F.lit(0).alias("ordinal"), "seq", "content", *meta, *rest, F.lit("chunk").alias("kind"))
-    # sentences from coarser units
-    if early is not None and window is None:
-        df = df.orderBy(*keys).limit(early)  # each unit gives at least one sentence, in order
+    # sentences from coarser units; a unit may give none, so a limit comes after the split
     split = s.registry.get("splitter", "SENTENCE")
     pieces = split.build(F.col("content")) if split and split.build else F.udf(split.python, "array<string>", useArrow=True)(F.col("content")) if split else text_ops.sentences(F.col("content"))
     fine = df.select("doc_id", "ordinal", "seq", *meta, *rest, F.col("unit_id").alias("__unit"), F.posexplode(pieces).alias("__i", "content"))

@@ -321,3 +321,17 @@ def test_cell_index_topk_recall(spark, data):
     qs = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     want = {(r.query_id, r.vec_id) for r in vectors.batch_top_k(e, "vec_id", "embedding", qs, 10).collect()}
     assert len(want) == 10 * qs.count() and len(got & want) >= 0.9 * len(want)
+
+
+def test_limit_counts_sentences_not_units(spark):
+    texts_ = [None, "", " \n ", "One. Two.", None, "Three is longer. Four.", "   "]
+    for n in ("document", "chunk"):
+        c = of_table(spark.createDataFrame(list(enumerate(texts_)), "id long, t string"), "id", "t", granularity=n)
+        e = Engine(spark, c)
+        assert texts(e.search("SELECT SENTENCE LIMIT 3")) == ["One.", "Two.", "Three is longer."]
+        assert texts(e.search("SELECT SENTENCE ORDER BY LENGTH(content) LIMIT 3")) == ["One.", "Two.", "Three is longer."]
+        assert texts(e.search("SELECT SENTENCE ORDER BY LENGTH(content) DESC LIMIT 3")) == ["Three is longer.", "Four.", "One."]
+        assert e.search("SELECT SENTENCE LIMIT 10").count() == 4
+    own = Registry()
+    own.splitter("SENTENCE", build=lambda t: F.filter(F.split(t, " "), lambda x: x.startswith("F")))
+    assert texts(Engine(spark, c, registry=own).search("SELECT SENTENCE LIMIT 1")) == ["Four."]
