@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 PROJECTIONS, THRESHOLD, WIDTH = 28, 18, 1.37
 #: vectors a cell aims at, most anchors, cells a vector is searched in, and by how much less similar their anchors may be
 CELL, MOST_ANCHORS, PROBES, SLACK = 256, 65_536, 6, 0.1
-#: anchors up to which a vector is compared with all of them; beyond it through groups of anchors
+#: anchors that a vector is compared with at once; more are taken block by block, all of them
 FLAT = 4096
 SEED = 20_240_601
 
@@ -78,32 +78,22 @@ def draw_anchors(units: DataFrame, dim: int, cell: int = CELL) -> np.ndarray:
 
 
 class Router:
-    """The nearest anchors of vectors; for many anchors through groups around every some of them."""
+    """The nearest anchors of vectors, among all anchors at every size; blocks of them bound the memory."""
 
     def __init__(self, anchors: np.ndarray):
         self.anchors = anchors
-        self.groups: list[np.ndarray] = []
-        if len(anchors) > FLAT:
-            self.heads = anchors[:: max(1, int(sqrt(len(anchors))))]
-            near = np.argpartition(-(anchors @ self.heads.T), 2, 1)[:, :2]
-            self.groups = [np.flatnonzero((near == g).any(1)) for g in range(len(self.heads))]
 
-    def nearest(self, x: np.ndarray, probes: int, reach: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
         """(cells, cosines), most similar first; -1 where there are fewer."""
-        if not self.groups:
-            return _top(x @ self.anchors.T, np.arange(len(self.anchors)), probes)
-        cells = np.full((len(x), probes), -1)
-        cos = np.full((len(x), probes), -9.0, np.float32)
-        heads = np.argpartition(-(x @ self.heads.T), min(reach, len(self.heads) - 1), 1)[:, :reach]
-        for g, members in enumerate(self.groups):
-            rows = np.flatnonzero((heads == g).any(1))
-            if not len(rows) or not len(members):
-                continue
-            c, s = _top(x[rows] @ self.anchors[members].T, members, probes)
-            c = np.concatenate([cells[rows], np.where((c[:, :, None] == cells[rows][:, None, :]).any(2), -1, c)], 1)
-            s = np.where(c < 0, -9, np.concatenate([cos[rows], s], 1))
-            o = np.argsort(-s, 1, kind="stable")[:, :probes]
-            cells[rows], cos[rows] = np.take_along_axis(c, o, 1), np.take_along_axis(s, o, 1)
+        cells, cos = np.full((len(x), probes), -1), np.full((len(x), probes), -9.0, np.float32)
+        for s in range(0, len(self.anchors), FLAT):
+            block = self.anchors[s : s + FLAT]
+            c, v = _top(x @ block.T, np.arange(s, s + len(block)), probes)
+            if s:
+                c, v = np.concatenate([cells, c], 1), np.concatenate([cos, v], 1)
+                o = np.argsort(-v, 1, kind="stable")[:, :probes]
+                c, v = np.take_along_axis(c, o, 1), np.take_along_axis(v, o, 1)
+            cells, cos = c, v
         return cells, cos
 
 
@@ -177,7 +167,7 @@ def similar_classes(vectors: DataFrame, anchors: np.ndarray, dim: int, k: int, m
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         router = Router(shared.value)
         seen: set[int] = set()  # copies within a partition leave before the shuffle
-        size = 2048 if router.groups else max(64, min(8192, (1 << 23) // max(1, len(router.anchors))))
+        size = max(64, min(8192, (1 << 23) // max(1, min(FLAT, len(router.anchors)))))
         for whole in batches:
             for s in range(0, whole.num_rows, size):
                 b = whole.slice(s, size)

@@ -262,3 +262,13 @@ def test_hostile_long_texts_take_linear_time(part):
     leaks.words(leaks.plain(text))
     langmix.sentences_with_language([text])
     assert time.perf_counter() - t < 10
+
+
+def test_many_anchors_are_all_searched(monkeypatch):
+    rng = np.random.default_rng(6)
+    a = rng.standard_normal((905, 32)).astype(np.float32)
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    flat, near = nearest.Router(a).nearest(a[:200], 6)
+    monkeypatch.setattr(nearest, "FLAT", 50)
+    blocks, cos = nearest.Router(a).nearest(a[:200], 6)
+    assert (blocks == flat).all() and np.allclose(cos, near, atol=1e-6)
