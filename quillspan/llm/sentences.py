@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -278,7 +280,7 @@ def _terminates(line: str, begin: int, i: int, n: int, capitals: bool) -> int:
     # a full stop
     before = line[i - 1] if i > begin else ""
     if not blank:
-        if kind == "U" and (before.islower() or before.isdigit()) and k + 1 < n and (line[k + 1].islower() or line[k + 1] == " ") and not _technical(line, i, k):
+        if kind == "U" and (before.islower() or before.isdigit()) and k + 1 < n and (line[k + 1].islower() or line[k + 1] == " ") and not _technical(line, i):
             return end
         if kind == "o" and before and _cased(before) == "o" and follow > "\u02ff":
             return end if not _abbrev_any(line, begin, i) else 0
@@ -316,15 +318,20 @@ def _terminates(line: str, begin: int, i: int, n: int, capitals: bool) -> int:
 _COMPANY = re.compile(r"(?:ltd|inc|llc|kg|s\.a)\b", re.I)
 
 
-def _technical(line: str, i: int, k: int) -> bool:
+@lru_cache(maxsize=4)
+def _tokens(line: str) -> tuple[list[int], list[bool]]:
+    """Where the line's tokens start, and whether each is technical; found once a line."""
+    found = [(m.start(), bool(_TECHNICAL.search(m.group()))) for m in re.finditer(r"\S+", line)]
+    return [a for a, _ in found], [t for _, t in found]
+
+
+_TECHNICAL = re.compile(r"[/_@=(]")
+
+
+def _technical(line: str, i: int) -> bool:
     """A stop inside a file name, host or identifier."""
-    a, b = i, k
-    while a > i - 60 and a and not line[a - 1].isspace():
-        a -= 1
-    while b < k + 60 and b < len(line) and not line[b].isspace():
-        b += 1
-    token = line[a:b]
-    return "/" in token or "_" in token or "@" in token or "=" in token or "(" in token
+    starts, technical = _tokens(line)
+    return technical[bisect_right(starts, i) - 1]
 
 
 def _abbrev_any(line: str, start: int, i: int) -> bool:

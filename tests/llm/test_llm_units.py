@@ -272,3 +272,12 @@ def test_many_anchors_are_all_searched(monkeypatch):
     monkeypatch.setattr(nearest, "FLAT", 50)
     blocks, cos = nearest.Router(a).nearest(a[:200], 6)
     assert (blocks == flat).all() and np.allclose(cos, near, atol=1e-6)
+
+
+
+def test_a_long_address_is_no_boundary():
+    long = "https://host/" + "a" * 300 + ".Name/" + "b" * 300
+    assert cut(f"See {long} first. Then go.") == [f"See {long} first.", "Then go."]
+    assert cut("x" * 200 + ".Name=" + "y" * 200) == ["x" * 200 + ".Name=" + "y" * 200]
+    assert cut("It was said.Then " + "c" * 100 + "/d it went.") == ["It was said.", "Then " + "c" * 100 + "/d it went."]
+    assert cut("x" * 200 + ".Name" + "y" * 100 + "=1 is set.") == ["x" * 200 + ".Name" + "y" * 100 + "=1 is set."]
