@@ -125,8 +125,11 @@ def profiles(split_profiles: DataFrame) -> dict[str, tuple[str, int, int]]:
     return {"default": FALLBACK} | table
 
 
-def split_units(store_docs: DataFrame, split_profiles: DataFrame, with_text: bool = True) -> DataFrame:
-    """Units of every text payload of the current versions; ordinals run through a document's payloads."""
+def split_units(store_docs: DataFrame, split_profiles: DataFrame, with_text: bool = True, blanks: bool = False) -> DataFrame:
+    """Units of every text payload of the current versions; ordinals run through a document's payloads.
+
+    With ``blanks`` a payload over its limit that gives no unit has one empty row.
+    """
     table = profiles(split_profiles)
     docs = current_documents(store_docs).select(
         "doc_key", "profile", F.expr("transform(payloads, p -> if(p.modality = 'text', p.data, null))").alias("texts")
@@ -142,7 +145,10 @@ def split_units(store_docs: DataFrame, split_profiles: DataFrame, with_text: boo
                     if not text:
                         continue
                     forced = int(len(text) > limit and longest_run(text) > limit)
-                    for a, b in pieces(text, limit, overlap):
+                    cuts = pieces(text, limit, overlap)
+                    if blanks and not cuts and len(text) > limit:
+                        rows.append({"doc_key": r["doc_key"], "payload_no": no, "kind": kind, "ordinal": None, "start_pos": 0, "end_pos": 0, "data": None, "n_chars": len(text), "max_chars": limit, "forced": forced})
+                    for a, b in cuts:
                         rows.append({"doc_key": r["doc_key"], "payload_no": no, "kind": kind, "ordinal": ordinal, "start_pos": a, "end_pos": b, "data": text[a:b] if with_text else None, "n_chars": len(text), "max_chars": limit, "forced": forced})
                         ordinal += 1
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
@@ -151,8 +157,11 @@ def split_units(store_docs: DataFrame, split_profiles: DataFrame, with_text: boo
 
 
 def oversized_payloads(store_docs: DataFrame, split_profiles: DataFrame) -> DataFrame:
-    """The payloads that were over their limit, from their units; every piece is held against the limit."""
-    units = split_units(store_docs, split_profiles, with_text=False)
+    """The payloads that were over their limit, from their units; every piece is held against the limit.
+
+    A blank payload has no unit but counts, with nothing forced.
+    """
+    units = split_units(store_docs, split_profiles, with_text=False, blanks=True)
     over = units.where((F.col("n_chars") > F.col("max_chars")) & (F.col("end_pos") - F.col("start_pos") <= F.col("max_chars")))
     first = over.groupBy("doc_key", "payload_no").agg(F.max("forced").alias("forced"))
     return first

@@ -82,6 +82,14 @@ def test_splitting(spark, edge_docs, data):
     assert splitting.oversized_payloads(edge_docs.limit(0), profiles).count() == 0
 
 
+def test_blank_payloads_over_the_limit_count(spark, data):
+    profiles = spark.read.parquet(f"{data}/split_profiles.parquet")
+    docs = store(spark, [("blank", 1, [("text", " \n" * 2500), ("text", "   "), ("text", EN * 30)], None, None), ("lines", 1, [("text", "\n" * 5001)], None, None)])
+    assert sorted(tuple(r) for r in splitting.oversized_payloads(docs, profiles).collect()) == [("blank", 0, 0), ("blank", 2, 0), ("lines", 0, 0)]
+    units = splitting.split_units(docs, profiles).orderBy("ordinal").collect()
+    assert {u.doc_key for u in units} == {"blank"} and [u.ordinal for u in units] == list(range(len(units)))
+
+
 def test_splitting_against_sql(spark, data):
     con = duckdb.connect()
     for t in ("store_docs", "split_profiles"):
