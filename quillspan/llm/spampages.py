@@ -31,7 +31,8 @@ REPEATS_CURT = 0.4
 #: words that make a line of usual length, and the most usual lines that a long one counts for
 WORDS_A_LINE, MOST_WEIGHT = 14, 5.0
 
-_ANCHOR = re.compile(r"<a\b[^<>]*>(?:(?!<a\b).){0,2000}?</a>|\[[^\[\]\n]*\]\(\s*[^()\s]+\s*\)|(?:https?|ftp)://[^\s<>\"')\]]+|www\.[^\s<>\"')\]]+", re.I | re.S)
+_ANCHOR = re.compile(r"(?P<open><a\b[^<>]*>)|(?P<close></a>)|<a\b", re.I)
+_ADDRESS = re.compile(r"\[[^\[\]\n]*\]\(\s*[^()\s]+\s*\)|(?:https?|ftp)://[^\s<>\"')\]]+|www\.[^\s<>\"')\]]+", re.I)
 _MARKUP = re.compile(r"</?[a-zA-Z][^<>]*>")
 _WORD = re.compile(r"\w+(?:[-'’]\w+)*")
 _MENU = re.compile(r"\s+[>|»/·•→]\s+")
@@ -78,15 +79,49 @@ def _linked(line: str) -> bool:
     return "://" in line or "](" in line or "<a" in line or "<A" in line or "www." in line or "WWW." in line
 
 
+def _links(line: str) -> list[tuple[int, int]]:
+    """(start, end) of the links: an anchor tag up to its closing one with no other between, or an address."""
+    anchors, start = [], -1
+    if "<a" in line or "<A" in line:
+        for m in _ANCHOR.finditer(line):
+            if m["close"] is None:
+                start = m.start() if m["open"] is not None else -1
+            elif start >= 0:
+                anchors.append((start, m.end()))
+                start = -1
+    out: list[tuple[int, int]] = []
+    at, k, other = 0, 0, _ADDRESS.search(line)
+    while True:
+        while k < len(anchors) and anchors[k][0] < at:
+            k += 1
+        if other and other.start() < at:
+            other = _ADDRESS.search(line, at)
+        if k < len(anchors) and (not other or anchors[k][0] < other.start()):
+            out.append(anchors[k])
+        elif other:
+            out.append(other.span())
+        else:
+            return out
+        at = out[-1][1]
+
+
+def _without(line: str, links: list[tuple[int, int]], shown: bool = False) -> str:
+    """The line with its links blanked out, or only their visible words left."""
+    parts, at = [], 0
+    for a, b in links:
+        parts += [line[at:a], _shown(line[a:b]) if shown else " "]
+        at = b
+    return "".join([*parts, line[at:]])
+
+
 def _words(line: str) -> list[str]:
     if _linked(line):
-        line = _ANCHOR.sub(_shown, line)
+        line = _without(line, _links(line), shown=True)
     return _WORD.findall((_MARKUP.sub(" ", line) if "<" in line else line).lower())
 
 
-def _shown(m: re.Match) -> str:
+def _shown(s: str) -> str:
     """The visible words of a link."""
-    s = m.group()
     if s[0] == "[":
         return " " + s[1 : s.index("]")] + " "
     return " " + _MARKUP.sub(" ", s) + " " if s[0] == "<" else " "
@@ -111,8 +146,9 @@ def symbols(lines: list[str], words: list[list[str]] | None = None) -> list[int]
         repeated = again >= REPEATS
         body, linked, size = line, 0, len(line.strip())
         if _linked(line):
-            linked = sum(len(m.group()) for m in _ANCHOR.finditer(line))
-            body = _ANCHOR.sub(" ", line)
+            links = _links(line)
+            linked = sum(b - a for a, b in links)
+            body = _without(line, links)
         if "<" in body:
             body = _MARKUP.sub(" ", body)
         if "&" in body:

@@ -281,3 +281,19 @@ def test_a_long_address_is_no_boundary():
     assert cut("x" * 200 + ".Name=" + "y" * 200) == ["x" * 200 + ".Name=" + "y" * 200]
     assert cut("It was said.Then " + "c" * 100 + "/d it went.") == ["It was said.", "Then " + "c" * 100 + "/d it went."]
     assert cut("x" * 200 + ".Name" + "y" * 100 + "=1 is set.") == ["x" * 200 + ".Name" + "y" * 100 + "=1 is set."]
+
+
+
+def test_links_of_any_length():
+    card = '<a href="/p/1">' + "<b>blue lamp</b> " * 300 + "</a>"
+    assert spampages._links(card) == [(0, len(card))]
+    assert spampages.page_shares("\n".join([card] * 8))["links"] > 0.9
+    cases = [
+        'x <a href="http://u.v/w">one</a> y http://a.b/c z', "<a x>one <a y>two</a> three</a>", "<a <a>b</a>", "[t <a x>](u) v</a> www.x.y", "<A>b</A><a>c</a>", "<a>b", "a</a>", "<ab>c</a>", "[x](y)[z](http://q)",
+    ]
+    whole = spampages.re.compile(r"<a\b[^<>]*>(?:(?!<a\b).)*?</a>|" + spampages._ADDRESS.pattern, spampages.re.I | spampages.re.S)
+    rng = random.Random(3)
+    bits = ["<a>", "<a", "</a>", "<A x=1>", " ", "b", "[", "]", "](", ")", "http://h", "www.k", "<b>", "\""]
+    cases += ["".join(rng.choices(bits, k=12)) for _ in range(3000)]
+    for t in cases:
+        assert spampages._links(t) == [m.span() for m in whole.finditer(t)], t
