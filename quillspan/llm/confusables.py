@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,15 +76,28 @@ def skeleton_udf(data: pd.Series) -> pd.Series:
     return data.map(skeleton, na_action="ignore")
 
 
-@F.pandas_udf(T.BinaryType())
-def skeleton_key_udf(data: pd.Series) -> pd.Series:
-    """128 bits of the skeleton; null for null and for what shows nothing."""
+def look_key(text: str) -> bytes | None:
+    """128 bits of the skeleton; None for what shows nothing."""
+    s = skeleton(text)
+    return hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).digest() if s and not s.isspace() else None
 
-    def key(text: str) -> bytes | None:
-        s = skeleton(text)
-        return hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).digest() if s and not s.isspace() else None
 
-    return data.map(key, na_action="ignore")
+def keyed_payloads(payloads: DataFrame) -> DataFrame:
+    """(payload_id, d, k) once each: 128 bits of the data and of its skeleton, from one pass over the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            keys = [look_key(t) for t in texts]
+            use = [i for i, k in enumerate(keys) if k is not None]
+            data = [hashlib.blake2b(texts[i].encode("utf-8", "surrogatepass"), digest_size=16).digest() for i in use]
+            ids = b.column(0).take(pa.array(use, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(data, pa.binary()), pa.array([keys[i] for i in use], pa.binary())], names=["payload_id", "d", "k"])
+
+    text = payloads.where((F.col("modality") == "text") & F.col("data").isNotNull() & F.col("payload_id").isNotNull())
+    keyed = text.select(F.col("payload_id").cast("bigint").alias("payload_id"), "data").mapInArrow(run, "payload_id bigint, d binary, k binary")
+    # said here once, or each join infers its own and the uses no longer share one exchange
+    return keyed.where("k is not null and d is not null and payload_id is not null").groupBy("k", "d", "payload_id").agg(F.lit(1).alias("once"))
 
 
 def canonical_payloads(payloads: DataFrame) -> DataFrame:
@@ -94,18 +109,14 @@ def canonical_payloads(payloads: DataFrame) -> DataFrame:
 def lookalike_pairs(payloads: DataFrame) -> DataFrame:
     """(payload_a, payload_b), a < b: text payloads of different data and one skeleton.
 
-    The shuffle carries two 128-bit keys and the id, never the text.  Variants (distinct
-    texts) of a skeleton are paired first and only skeletons with several are; the ids
-    of a variant join on after that, so a text with a third of all ids is neither
-    collected nor joined with itself, and its partition can be split as skewed.
+    The texts are read and their skeletons made once: the shuffle carries two 128-bit
+    keys and the id, never the text, and its output serves all three uses below.
+    Variants (distinct texts) of a skeleton are paired first and only skeletons with
+    several are; the ids of a variant join on after that, so a text with a third of all
+    ids is neither collected nor joined with itself, and its partition can be split as skewed.
     """
-    keyed = (
-        payloads.where((F.col("modality") == "text") & F.col("data").isNotNull() & F.col("payload_id").isNotNull())
-        .select("payload_id", F.unhex(F.md5(F.col("data").cast("binary"))).alias("d"), skeleton_key_udf("data").alias("k"))
-        .where(F.col("k").isNotNull())
-        .distinct()
-    )
-    variants = keyed.groupBy("k", "d").agg(F.min("payload_id").alias("first_id"))
+    keyed = keyed_payloads(payloads)
+    variants = keyed.groupBy("k", "d").agg(F.count("*").alias("ids")).where("ids > 0")  # asked for, else the plan takes another way to them
     several = variants.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
     variants = variants.join(several, "k", "left_semi").select("k", "d")
     a, b = variants.select("k", F.col("d").alias("da")), variants.select("k", F.col("d").alias("db"))
@@ -114,3 +125,13 @@ def lookalike_pairs(payloads: DataFrame) -> DataFrame:
     right = keyed.select(F.col("k"), F.col("d").alias("db"), F.col("payload_id").alias("ib"))
     pairs = both.join(left, ["k", "da"]).join(right, ["k", "db"]).where(F.col("ia") != F.col("ib"))
     return pairs.select(F.least("ia", "ib").alias("payload_a"), F.greatest("ia", "ib").alias("payload_b")).distinct()
+
+
+def lookalike_classes(payloads: DataFrame) -> DataFrame:
+    """(payload_id, look, variant): membership instead of pairs, linear in the rows however hot a form is.
+
+    ``look`` names the form, ``variant`` the text; only forms with several texts come out.
+    """
+    keyed = keyed_payloads(payloads)
+    several = keyed.groupBy("k", "d").agg(F.count("*").alias("ids")).groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
+    return keyed.join(several, "k", "left_semi").select("payload_id", F.hex("k").alias("look"), F.hex("d").alias("variant"))
