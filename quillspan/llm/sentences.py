@@ -56,9 +56,6 @@ CJK_END = set("。！？｡")
 HARD_END = set("।؟॥۔")
 
 
-#: characters looked at before a mark, and times a line is read again for openers that never close
-LONGEST_ABBREVIATION, MOST_RESCANS = 24, 20
-
 
 def _trie(words: list[str]) -> dict:
     """Characters read backwards from the mark, so that one walk finds the longest abbreviation."""
@@ -71,6 +68,7 @@ def _trie(words: list[str]) -> dict:
     return root
 
 
+_DEPTH = 3 * max(map(len, TITLE + NUMBER + INNER + FINAL)) + 2
 _TRIES = {"title": _trie(TITLE), "number": _trie(NUMBER), "inner": _trie(INNER), "final": _trie(FINAL)}
 _EVENT = re.compile(r"[.!?…。！？｡।॥۔؟“”„«»「」『』()（）\[\]【】《》〈〉‘’‹›\"]|(?<=[\u0E00-\u0E7F]) +(?=[\u0E00-\u0E7F])")
 _LINE = re.compile(r"[^\r\n\u2028\u2029\x85\x0b\x0c]+")
@@ -78,12 +76,12 @@ _BULLET = re.compile(r"\s*(?:[-*•‣◦▪·+–]|\(?(?:\d{1,3}|[a-zA-Zа-я])
 _HEADING = re.compile(r"\s*(?:#{1,6}\s|={2,}\s?|\*\*[^*]+\*\*\s*$|<h\d)")
 _LOG = re.compile(r"\s*(?:\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\[?\d\d:\d\d:\d\d\b|0x[0-9a-f]+\b|(?:INFO|WARN|ERROR|DEBUG|TRACE)\b|[\d;,.:\s-]+$)")
 _IDENT = re.compile(r"[a-z][\w-]*(?:[._/][\w.-]+|\d[\w.]*)|[a-z][\w-]* v?\d+\.\d|[a-z]+[A-Z]")
-_WORD_BACK = re.compile(r"[\w.º\u0900-\u0DFF\u0E00-\u0E7F-]+$")
+_WORD_CHAR = re.compile(r"[\w.º\u0900-\u0DFF\u0E00-\u0E7F-]").match
 
 
 def _abbreviation(kind: str, line: str, dot: int, start: int) -> bool:
     """Whether an abbreviation of this kind ends just before the mark, from a word's start on."""
-    word = line[start:dot]
+    word = line[max(start, dot - _DEPTH) : dot]  # more than the longest abbreviation, so nothing is lost
     if not word.isascii():
         word = unicodedata.normalize("NFC", word)
     word = word.lower()
@@ -120,14 +118,10 @@ def _prose(line: str, base: int, out: list[tuple[int, int]]) -> None:
     letters = [c for c in line if c.isalpha()]
     capitals = len(letters) > 12 and sum(c.isupper() for c in letters) > 0.9 * sum(c.isupper() or c.islower() for c in letters) > 0
     inward = line.rfind("«")
-    again = 0
     while begin < n:
         end, stuck = _next_end(line, begin, n, dead, capitals, inward)
         if stuck:
-            again += 1
             dead.update(stuck)
-            if again > MOST_RESCANS:  # hopelessly nested: quotation marks on this line mean nothing
-                dead = range(n)  # type: ignore[assignment]
             continue
         out.append((base + begin, base + end))
         begin = end
@@ -285,8 +279,9 @@ def _terminates(line: str, begin: int, i: int, n: int, capitals: bool) -> int:
         if kind == "o" and before and _cased(before) == "o" and follow > "\u02ff":
             return end if not _abbrev_any(line, begin, i) else 0
         return end if follow in "“„«「『¿¡" else 0
-    m = _WORD_BACK.search(line, max(begin, i - LONGEST_ABBREVIATION), i)
-    start = m.start() if m else i
+    start = i
+    while start > begin and _WORD_CHAR(line[start - 1]):
+        start -= 1
     word = line[start:i]
     if kind == "l":
         if not _IDENT.match(line, k):
@@ -366,6 +361,14 @@ def spans_udf(data: pd.Series) -> pd.Series:
     return data.map(lambda t: [{"start_pos": a, "end_pos": b} for a, b in sentence_spans(t)] if t else [])
 
 
+_UNITS = T.ArrayType(T.StructType([*_SPANS.elementType.fields, T.StructField("sentence", T.StringType())]))
+
+
+@F.pandas_udf(_UNITS)
+def units_udf(data: pd.Series) -> pd.Series:
+    return data.map(lambda t: [{"start_pos": a, "end_pos": b, "sentence": t[a:b]} for a, b in sentence_spans(t)] if t else [])
+
+
 def split_sentences(store_docs: DataFrame) -> DataFrame:
     """Sentence units of the text payloads of every document's current version.
 
@@ -374,11 +377,8 @@ def split_sentences(store_docs: DataFrame) -> DataFrame:
     duplicate rows of a version give their sentences once.
     """
     texts = text_payloads(current_documents(store_docs)).where(F.length("data") > 0)
-    spans = texts.select("doc_key", "payload_no", "data", F.posexplode(spans_udf("data")).alias("ordinal", "s"))
-    return spans.select(
-        "doc_key", "payload_no", "ordinal", F.col("s.start_pos").alias("start_pos"), F.col("s.end_pos").alias("end_pos"),
-        F.expr("substring(data, s.start_pos + 1, s.end_pos - s.start_pos)").alias("sentence"),
-    )
+    units = texts.select("doc_key", "payload_no", F.posexplode(units_udf("data")).alias("ordinal", "s"))
+    return units.select("doc_key", "payload_no", "ordinal", "s.start_pos", "s.end_pos", "s.sentence")
 
 
 def sentence_ends(store_docs: DataFrame) -> DataFrame:

@@ -94,6 +94,8 @@ def test_splitting_against_sql(spark, data):
     con = duckdb.connect()
     for t in ("store_docs", "split_profiles"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    covered = con.execute(queries.oracle_sql()["p3_coverage"]).fetchall()
+    assert sorted(covered) == sorted(tuple(r) for r in queries.queries()["p3_coverage"](spark, data).collect()) and covered
     want = sorted(con.execute(queries.oracle_sql()["p3_found"]).fetchall())
     got = sorted(tuple(r) for r in queries.queries()["p3_found"](spark, data).select("doc_key", "payload_no", "forced").collect())
     cols = [c[0] for c in con.execute(queries.oracle_sql()["p3_found"]).description]
@@ -115,6 +117,18 @@ def test_lookalikes_against_brute_force(spark, data):
             by.setdefault(s, []).append((r.payload_id, r.data))
     want = {(min(a, b), max(a, b)) for v in by.values() for a, x in v for b, y in v if x != y and a != b}
     assert pairs == want and want
+    seen = {(r.payload_id, r.look) for r in confusables.lookalike_classes(real).collect()}
+    members = {i for p in pairs for i in p}
+    assert members <= {i for i, _ in seen} and len({look for _, look in seen}) == sum(len({d for _, d in v}) > 1 for v in by.values())
+
+
+def test_a_wrong_splitter_shows(spark, data, monkeypatch):
+    docs, profiles = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("store_docs", "split_profiles"))
+    units = splitting.split_units(docs, profiles)
+    monkeypatch.setattr(splitting, "split_units", lambda *a, **k: units.withColumn("end_pos", F.col("start_pos") + F.col("max_chars") + 1))
+    with pytest.raises(Exception, match="over its limit"):
+        splitting.oversized_payloads(docs, profiles).collect()
+    assert splitting.coverage(docs, profiles).where("not within").count() > 0
 
 
 def brute_pairs(x, ids, k, least):

@@ -57,6 +57,12 @@ def test_thai_blanks_and_lines():
     assert cut("an unclosed “quote. It goes on. End") == ["an unclosed “quote.", "It goes on.", "End"]
 
 
+def test_many_unclosed_quotations_change_nothing_after_them():
+    line = 'x.‘y. ' * 60 + "He asked, “Who is it?” and left. Then he came."
+    assert cut(line)[-2:] == ["He asked, “Who is it?” and left.", "Then he came."]
+    assert cut("Look at " + "a-" * 40 + "etc. Then go.") == ["Look at " + "a-" * 40 + "etc.", "Then go."]
+
+
 def test_very_long_sentences():
     text = "word " * 20_000 + ". " + "(" * 50 + "x"
     spans = sentences.sentence_spans(text)
@@ -96,7 +102,23 @@ def test_pieces():
     assert splitting.pieces("abcde", 5, 2) == [(0, 5)]
     assert splitting.pieces("abcdefghij", 4, 1) == [(0, 4), (3, 7), (6, 10)]
     assert [("One two. Three four."[a:b]) for a, b in splitting.pieces("One two. Three four.", 12, 0)] == ["One two.", "Three four."]
-    assert splitting.longest_run("ab cde。f") == 3
+    assert splitting.Boundaries("ab cde。f").longest_run() == 3
+
+
+def test_forced_cuts_are_the_gaps_of_the_boundaries():
+    rng = random.Random(7)
+    stop = splitting.re.compile(r"[\s.!?。！？…।؟]")
+    for _ in range(400):
+        text = "".join(rng.choice(["ab", "x" * rng.randint(1, 25), ". ", " ", "。", "\n", "é́", "…", "۔"]) for _ in range(rng.randint(0, 40)))
+        limit, overlap = rng.choice([(20, 5), (12, 4), (30, 29)])
+        got, forced = splitting.cut(text, limit, overlap)
+        longest = max(map(len, stop.split(text)))
+        assert forced == (len(text) > limit and longest > limit)
+        if longest < limit:  # then no piece begins or ends inside a run
+            for a, b in got:
+                assert b == len(text) or stop.match(text[b - 1]) or stop.match(text[b]) or text[b - 1] in "۔ab"
+    # the overlap is given up rather than a run cut
+    assert splitting.pieces("aaaa bbbb cccccccccc", 10, 6) == [(0, 9), (10, 20)]
 
 
 def test_byte_bpe_equals_the_library():
