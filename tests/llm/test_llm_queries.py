@@ -149,6 +149,48 @@ def test_nearest_against_brute_force(spark, data):
     assert len(got & want) / len(want) >= 0.9 and len(got & want) / len(got) >= 0.95
 
 
+@pytest.fixture(scope="module")
+def larger(spark, data):
+    where = data.replace("sf0.001", "sf0.1")
+    rows = duckdb.connect().execute(f"SELECT unit_id, arg_max(vector, seq) FROM '{where}/units.parquet' GROUP BY 1").fetchall()
+    rows = [(u, v) for u, v in rows if v is not None and len(v) == 64 and any(v)]
+    x = np.array([v for _, v in rows], np.float32)
+    return spark.read.parquet(f"{where}/units.parquet"), brute_pairs_in_blocks(x / np.linalg.norm(x, axis=1, keepdims=True), [u for u, _ in rows], 5, 0.85)
+
+
+def brute_pairs_in_blocks(x, ids, k, least):
+    out = set()
+    for s in range(0, len(x), 2000):
+        sim = x[s : s + 2000] @ x.T
+        sim[np.arange(len(sim)), s + np.arange(len(sim))] = -2
+        top = np.argpartition(-sim, k, 1)[:, :k]
+        a, b = np.nonzero(np.take_along_axis(sim, top, 1) >= least)
+        out |= {tuple(sorted((ids[s + i], ids[top[i, j]]))) for i, j in zip(a, b)}
+    return out
+
+
+@pytest.mark.parametrize("how", [{}, {"cell": 6}, {"cell": 10**9}, {"exact": True}])
+def test_nearest_recall_at_any_number_of_anchors(spark, larger, how):
+    """From one cell to more than 4,096 anchors."""
+    units, want = larger
+    if how.get("cell") == 6:
+        assert len(nearest.draw_anchors(units, 64, 6)[0]) > 4096
+    got = {tuple(r)[:2] for r in nearest.most_similar(units, **how).collect()}
+    assert len(got & want) / len(want) > (0.999 if how.get("exact") else 0.97)
+    assert len(got & want) / len(got) > 0.97
+
+
+def test_cut_cells_lose_nothing(spark, data, monkeypatch):
+    units = spark.read.parquet(f"{data}/units.parquet")
+    whole = {tuple(r) for r in nearest.most_similar(units).collect()}
+    anchors = nearest.draw_anchors(units, 64)[0]
+    monkeypatch.setattr(nearest, "draw_anchors", lambda *a: (anchors, np.full(len(anchors), 3)))
+    monkeypatch.setattr(nearest, "BLOCK", 100)
+    cut = {tuple(r) for r in nearest.most_similar(units).collect()}
+    exact = {tuple(r) for r in nearest.most_similar(units, exact=True).collect()}
+    assert len(cut & exact) > 0.98 * len(exact) and len(whole & cut) > 0.98 * len(whole)
+
+
 def test_nearest_edges(spark):
     base = np.random.default_rng(0).standard_normal((3, 4))
     rows = [(f"c{i:02d}", 1, base[0].tolist()) for i in range(9)] + [("near", 1, (base[0] + 0.05).tolist()), ("far", 1, base[1].tolist()), ("zero", 1, [0.0] * 4), ("short", 1, [1.0]), ("null", 1, None), ("nan", 1, [1.0, float("nan"), 0.0, 0.0]), ("hole", 1, [1.0, None, 0.0, 0.0]), ("gone", 1, base[0].tolist()), ("gone", 2, None), (None, 1, base[0].tolist())]
@@ -179,6 +221,13 @@ def test_leaks_and_spam(spark):
     assert spampages.spam_pages(docs.limit(0)).count() == 0
 
 
+def test_items_indexed_in_parts_leak_the_same(spark, data, monkeypatch):
+    docs, items = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "eval_items"))
+    whole = {tuple(r) for r in leaks.leaks_found(docs, items).collect()}
+    monkeypatch.setattr(leaks, "PART_CHARS", 20_000)
+    assert {tuple(r) for r in leaks.leaks_found(docs, items).collect()} == whole and whole
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_queries_run(spark, data, name):
     df = queries.queries()[name](spark, data)

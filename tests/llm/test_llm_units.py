@@ -165,6 +165,16 @@ def test_leaks(text, found):
     assert [i for i, *_ in leaks.Index(ITEMS).leaks(text)] == found
 
 
+def test_leaks_in_capitals_and_disguise():
+    ru = "В опыте Thirustor за 1997 год 19037 читателей из Vobothick сравнили длинный абзац и 39,6 проб на каждое утро недели"
+    en = "Nobody at Graskor could say why the very old store adapter forgets the tangled template on every third Monday"
+    index = leaks.Index([(1, "ru", ru, None, None), (2, "en", en, None, None)])
+    for text, found in [(ru.upper(), [1]), (en.upper(), [2]), (ru.replace("о", "o").replace("В", "B"), [1]), (en.replace("o", "о").replace("N", "Ν"), [2]), (en.replace("adapter", "adap-\n  ter"), [2])]:
+        assert [i for i, *_ in index.leaks(text)] == found, text
+    (_, share, question, answer), = leaks.Index([(1, "ru", ru, "кто сравнили", "1997")]).leaks(ru.upper())
+    assert (share, question, answer) == (1.0, 0.5, 1.0)
+
+
 def test_leak_candidates_lose_nothing():
     rng = random.Random(1)
     vocab = [f"w{i}" for i in range(60)]
@@ -211,21 +221,56 @@ PROSE = "The patient reviewer reads every page before lunch. Nobody else in the
 def test_spam_pages(text, spam):
     s = spampages.page_shares(text)
     assert (s is not None and 1 - s["prose"] > spampages.SHARE) == spam
+    assert spampages.page_shares("\u200b ...") is None
 
 
 def test_viterbi_is_the_best_path():
     import itertools
 
     rng = random.Random(4)
-    for _ in range(20):
-        obs = [rng.randrange(len(spampages.SYMBOLS)) for _ in range(5)]
+    model = spampages.Model()
+    pages = [[rng.randrange(len(spampages.SYMBOLS)) for _ in range(rng.choice([1, 2, 4, 5]))] for _ in range(30)] + [[], [3] * 90]
+    paths = model.label_all(pages)
+    assert [len(p) for p in paths] == [len(p) for p in pages] and paths[-1] == model.label(pages[-1])
+    for obs, path in zip(pages[:30], paths):
 
         def value(path):
-            v = spampages._START[path[0]] + spampages._EMIT[path[0], obs[0]]
-            return v + sum(spampages._MOVE[a, b] + spampages._EMIT[b, o] for a, b, o in zip(path, path[1:], obs[1:]))
+            v = model.start[path[0]] + model.emit[path[0], obs[0]]
+            return v + sum(model.move[a, b] + model.emit[b, o] for a, b, o in zip(path, path[1:], obs[1:]))
+
+        assert abs(value(path) - max(value(p) for p in itertools.product(range(4), repeat=len(obs)))) < 1e-9
+
+
+def test_fitting_raises_the_likelihood():
+    rng = np.random.default_rng(2)
+    pages = [list(rng.choice(len(spampages.SYMBOLS), 30, p=p)) for p in np.exp(spampages.Model().emit)[[0] * 20 + [2] * 5]]
 
-        best = max(value(p) for p in itertools.product(range(4), repeat=5))
-        assert abs(value(spampages.viterbi(obs)) - best) < 1e-9
+    def likelihood(m, penalised):
+        v = 0.0
+        for obs in pages:
+            a = m.start + m.emit[:, obs[0]]
+            for o in obs[1:]:
+                a = np.logaddexp.reduce(a[:, None] + m.move, 0) + m.emit[:, o]
+            v += np.logaddexp.reduce(a)
+        first = spampages.Model()
+        return v + penalised * spampages.PRIOR * sum((np.exp(getattr(first, k)) * getattr(m, k)).sum() for k in ("start", "move", "emit"))
+
+    fitted = spampages.Model().fit(pages)
+    assert likelihood(fitted, 1) > likelihood(spampages.Model(), 1)
+    for x in (fitted.start, fitted.move, fitted.emit):
+        assert np.allclose(np.exp(x).sum(-1), 1)
+    assert np.allclose(spampages.Model().fit([]).emit, spampages.Model().emit)
+
+
+def test_line_breaks_change_nothing_for_spam():
+    prose = [f"The {a} keeper carries nine lamps to the {b} before noon." for a, b in zip("red odd old shy wet dry big low new sad".split(), "pier quay mill gate barn dock yard shop lane tower".split())]
+    keys = [f"{a} tea mill {b}" for a in ("buy", "cheap", "sale", "new", "top") for b in ("online", "price", "shop", "deals", "free", "best", "review", "outlet")]
+    many, one = "\n".join(prose + keys), " ".join(prose + keys)
+    for text in (many, one, " ".join(prose) + " " + ", ".join(keys)):
+        shares = spampages.page_shares(text)
+        assert 1 - shares["prose"] > spampages.SHARE and shares["prose"] > 0.3, text
+    for text in ("\n".join(prose), " ".join(prose), " ".join(prose) + " " + " ".join(keys[:8])):
+        assert spampages.page_shares(text)["prose"] > 0.5
 
 
 def test_label_codes():
@@ -258,14 +303,20 @@ def test_cell_search_against_brute_force():
     assert len(nearest.search_cell(x, vid, np.zeros(300, bool), 5, 0.85)[0]) == 0
 
 
-def test_grouped_anchors_find_nearly_the_same_cells(monkeypatch):
-    rng = np.random.default_rng(5)
-    a = rng.standard_normal((900, 32)).astype(np.float32)
-    a /= np.linalg.norm(a, axis=1, keepdims=True)
-    flat, _ = nearest.Router(a).nearest(a[:200], 4)
-    monkeypatch.setattr(nearest, "FLAT", 100)
-    grouped, _ = nearest.Router(a).nearest(a[:200], 4)
-    assert (grouped[:, 0] == flat[:, 0]).mean() > 0.95
+def test_cell_search_touches_less_than_all_pairs(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((12_000, 64)).astype(np.float32)
+    x[6000:] = x[:6000] + 0.3 * rng.standard_normal((6000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    touched = []
+    real = nearest._collisions
+    monkeypatch.setattr(nearest, "_collisions", lambda *a: touched.append(real(*a)) or touched[-1])
+    a, b, _ = nearest.search_cell(x, np.arange(12_000), np.ones(12_000, bool), 5, 0.85)
+    want = {(i, (i + 6000) % 12_000) for i in range(12_000)}
+    assert len(want & set(zip(a.tolist(), b.tolist()))) > 0.99 * len(want)
+    assert sum(map(len, touched)) < 0.15 * 12_000**2
+    exact = nearest.search_cell(x[::8], np.arange(0, 12_000, 8), np.ones(1500, bool), 5, 0.85, exact=True)
+    assert want & set(zip(exact[0].tolist(), exact[1].tolist())) == {p for p in want if p[0] % 8 == 0 and p[1] % 8 == 0}
 
 
 HOSTILE = ["“a. ", "(", "Dr. ", "<a ", "<a href=x>", "[", "[x](", "<!--", "a=b", "a=b ", "» ", "a.B", "“ « ( \" ", "á", "字。", "1 | a\n"]
