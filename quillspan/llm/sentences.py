@@ -109,14 +109,24 @@ def _cased(ch: str) -> str:
     return "o" if ch.isalpha() else ch
 
 
+_SMALL = re.compile(r"[a-zß-öø-ÿа-яёіїєґ]+")
+
+
+def _capitals(line: str) -> bool:
+    """Whether a line is written in capitals."""
+    if line.lower() == line or sum(map(len, _SMALL.findall(line))) > 0.1 * len(line):
+        return False
+    letters = [c for c in line if c.isalpha()]
+    return len(letters) > 12 and sum(map(str.isupper, letters)) > 0.9 * sum(c.isupper() or c.islower() for c in letters) > 0
+
+
 def _prose(line: str, base: int, out: list[tuple[int, int]]) -> None:
     """Boundaries of one line of running text, appended as (start, end)."""
     n, begin = len(line), 0
     while begin < n and line[begin].isspace():
         begin += 1
     dead: set[int] = set()  # openers that never close on this line
-    letters = [c for c in line if c.isalpha()]
-    capitals = len(letters) > 12 and sum(c.isupper() for c in letters) > 0.9 * sum(c.isupper() or c.islower() for c in letters) > 0
+    capitals = _capitals(line)
     inward = line.rfind("«")
     while begin < n:
         end, stuck = _next_end(line, begin, n, dead, capitals, inward)
