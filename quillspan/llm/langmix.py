@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,10 @@ EM_ROUNDS = 12
 LABELLED_LIMIT, LABELLED_CHARS = 60, 4000
 #: share of a labelled document's sentences on which label and first model must agree for all of them to count
 MOSTLY = 0.7
-#: letters of a word that count
-WORD_CHARS = 40
+#: share of a sentence's letters in a script that one language alone writes, which settles it
+OWN_SCRIPT = 0.3
+#: log-likelihood of the other languages of a sentence that its script settles
+SETTLED = -1000.0
 #: least share of a Latin sentence's longest n-grams that its best language must know
 MIN_KNOWN = 0.1
 
@@ -67,13 +70,30 @@ def label_code(label: str | None) -> str | None:
     return THREE.get(part)
 
 
+# Ranges of scripts that few languages write.
+_SCRIPTS = {
+    "arabic": r"\u0600-\u06ff\u0750-\u077f", "devanagari": r"\u0900-\u097f", "thai": r"\u0e00-\u0e7f", "hangul": r"\uac00-\ud7af\u1100-\u11ff",
+    "kana": r"\u3040-\u30ff", "hebrew": r"\u0590-\u05ff", "greek": r"\u0370-\u03ff", "cyrillic": r"\u0400-\u04ff", "han": r"\u3400-\u9fff",
+}
+_SCRIPT = re.compile("|".join(f"([{chars}]+)" for chars in _SCRIPTS.values()))
+_SCRIPT_NAMES = ("", *_SCRIPTS)
+
+
+def _script_letters(text: str) -> dict[str, int]:
+    found: dict[str, int] = {}
+    for m in _SCRIPT.finditer(text):
+        name = _SCRIPT_NAMES[m.lastindex]
+        found[name] = found.get(name, 0) + m.end() - m.start()
+    return found
+
+
 def _drop_technical(m: re.Match) -> str:
     return " " if _TECHNICAL.search(m.group()) else m.group()
 
 
 def features(sentence: str) -> str:
     """The text whose n-grams count: letters and single blanks, without numbers, addresses and identifiers."""
-    s = _ASCII_RUN.sub(_drop_technical, sentence).lower()
+    s = (_ASCII_RUN.sub(_drop_technical, sentence) if _TECHNICAL.search(sentence) else sentence).lower()
     if not s.isascii():
         s = unicodedata.normalize("NFKC", s)
     return " " + " ".join(_NOT_LETTERS.sub(" ", s).split()) + " "
@@ -90,6 +110,23 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 SLICE = 60_000
 
 
+@lru_cache(maxsize=4)
+def _power_table(size: int) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        tables = []
+        for factor in (int(_P), pow(int(_P), -1, 1 << 64)):
+            steps = np.full(size, np.uint64(factor))
+            steps[0] = 1
+            tables.append(np.cumprod(steps, dtype=np.uint64))
+    return tables[0], tables[1]
+
+
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse, modulo 2 ** 64."""
+    power, back = _power_table(max(SLICE * 2, 1 << max(1, size - 1).bit_length()))
+    return power[:size], back[:size]
+
+
 class _Grams:
     """n-grams and words of many sentences as hashes, for whole arrays at once."""
 
@@ -114,15 +151,10 @@ class _Grams:
             left, right = blank[:-1] + 1, blank[1:]
             word = (right > left) & (sent[left - 1] == sent[right]) if len(blank) > 1 else np.zeros(0, bool)
             left, right = left[word], right[word]
-            total = np.zeros(len(left), np.uint64)
-            for i in range(int((right - left).max()) if len(left) else 0):  # as many rounds as the longest word has letters
-                more = left + i < right
-                if not more.any():
-                    break
-                at = np.flatnonzero(more)
-                total[at] = total[at] * _P + c[left[at] + i] + np.uint64(1)
-                if i >= WORD_CHARS:
-                    break
+            # of a word of any length: the difference of two prefix sums, brought to its own place
+            power, back = _powers(len(c))
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((c + np.uint64(1)) * power, dtype=np.uint64)))
+            total = (sums[right] - sums[left]) * back[left]
             hashes.append((total ^ np.uint64(77)) * _MIX)
             owners.append(sent[left])
         self.kinds = [len(x) for x in hashes]
@@ -136,6 +168,9 @@ class Model:
     def __init__(self, samples: list[tuple[str, str]]):
         self.langs = sorted({lang for lang, _ in samples})
         at = {lang: k for k, lang in enumerate(self.langs)}
+        self.all = tuple(range(len(self.langs)))
+        self.writers = self._script_writers(samples)
+        self._narrow: dict[tuple[int, ...], np.ndarray] = {}
         forms = [(at[lang], f) for lang, text in samples for f in {features(text), _plain(features(text))} if len(f) > 2]
         kinds = len(ORDERS) + 1
         parts: list[list[np.ndarray]] = [[] for _ in range(kinds)]
@@ -162,6 +197,33 @@ class Model:
         self.known = np.concatenate(known) if known else np.zeros((0, n_lang), bool)
         self._fill(np.concatenate(keys) if keys else np.zeros(0, np.uint64))
 
+    def _script_writers(self, samples: list[tuple[str, str]]) -> dict[str, tuple[int, ...]]:
+        """The languages whose samples use a script ("" is Latin) for more than a little."""
+        total = dict.fromkeys(self.langs, 0)
+        used: dict[str, dict[str, int]] = {name: {} for name in ("", *_SCRIPTS)}
+        for lang, text in samples:
+            form = features(text)
+            found = _script_letters(form)
+            letters = len(form) - form.count(" ")
+            total[lang] += letters
+            for name, n in (found | {"": letters - sum(found.values())}).items():
+                used[name][lang] = used[name].get(lang, 0) + n
+        # names and terms in Latin letters are no sign of a language that writes in them
+        return {name: tuple(k for k, lang in enumerate(self.langs) if by.get(lang, 0) > (0.5 if not name else 0.02) * total[lang]) for name, by in used.items()}
+
+    def _writers(self, text: str) -> tuple[int, tuple[int, ...]]:
+        """(the only language that writes the script of a sentence or -1, else the languages that may)."""
+        found = {} if text.isascii() else _script_letters(text)
+        letters = max(1, len(text) - text.count(" "))
+        own = {self.writers[name][0] for name, n in found.items() if len(self.writers[name]) == 1 and n >= OWN_SCRIPT * letters}
+        if len(own) == 1:
+            return own.pop(), ()
+        some = [name for name, n in found.items() if n >= OWN_SCRIPT * letters]
+        if not some:
+            return -1, self.writers[""] or self.all
+        both = sorted({k for name in some for k in self.writers[name]})
+        return -1, tuple(both) or self.all
+
     def _fill(self, keys: np.ndarray) -> None:
         self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 4))))
         self.slots = np.full(1 << self.bits, -1, np.int32)
@@ -201,15 +263,42 @@ class Model:
         texts = [features(s) for s in sentences]
         ll = np.zeros((len(texts), len(self.langs)))
         ok = np.zeros(len(texts), bool)
-        sizes = np.cumsum([0, *map(len, texts)])
-        s = 0
-        while s < len(texts):
-            e = max(s + 1, int(np.searchsorted(sizes, sizes[s] + SLICE, "right")) - 1)
-            self._slice(texts[s:e], ll[s:e], ok[s:e])
-            s = e
+        if not self.langs:
+            return ll, ok
+        groups: dict[tuple[int, ...], list[int]] = {}  # those whose script leaves several languages, by these
+        for i, t in enumerate(texts):
+            owner, some = self._writers(t)
+            if owner < 0:
+                groups.setdefault(some, []).append(i)
+            elif len(t) > 2:
+                ll[i], ll[i, owner], ok[i] = SETTLED, 0.0, True
+        for some, members in groups.items():
+            rest = [texts[i] for i in members]
+            part, good = np.zeros((len(rest), len(some))), np.zeros(len(rest), bool)
+            sizes = np.cumsum([0, *map(len, rest)])
+            s = 0
+            while s < len(rest):
+                e = max(s + 1, int(np.searchsorted(sizes, sizes[s] + SLICE, "right")) - 1)
+                self._slice(rest[s:e], part[s:e], good[s:e], some)
+                s = e
+            mine = np.repeat(part.min(1, keepdims=True) + SETTLED, len(self.langs), 1)
+            # no evidence is none for any language
+            mine[:, list(some)] = part
+            mine[~part.any(1)] = 0.0
+            ll[members], ok[members] = mine, good
         return ll, ok
 
-    def _slice(self, texts: list[str], ll: np.ndarray, ok: np.ndarray) -> None:
+    def _columns(self, some: tuple[int, ...]) -> np.ndarray:
+        """The table's columns of some languages, side by side; made once in each process."""
+        if some not in self._narrow:
+            self._narrow[some] = np.ascontiguousarray(self.table[:, list(some)])
+        return self._narrow[some]
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_narrow": {}}
+
+    def _slice(self, texts: list[str], ll: np.ndarray, ok: np.ndarray, some: tuple[int, ...]) -> None:
+        table = self._columns(some)
         g = _Grams(texts)
         row = self._find(g.hashes)
         seen = np.zeros(len(texts), np.int64)
@@ -221,7 +310,7 @@ class Model:
             if not len(r):
                 continue
             first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-            ll[owner[first]] += np.add.reduceat(self.table[r], first)
+            ll[owner[first]] += np.add.reduceat(table[r], first)
             ok[owner[first]] = True
             if k == len(ORDERS) - 1:
                 plain = np.array([t.isascii() for t in texts])[owner]
@@ -238,44 +327,76 @@ class Model:
 def fit_mixture(scores: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """EM for the proportions over sentences (rows of scores); returns (proportions, posteriors).
 
-    Languages leave the set one by one while the penalised likelihood rises.
+    The set of languages is chosen by penalised likelihood: from the set of those likeliest
+    in some sentence languages come in, leave or change places as long as that raises it;
+    then every single language and every pair that could still do better is tried as
+    another start.  A set can't do better than its languages' best likelihoods less the
+    penalty, nor a further language earn more than the likelihood's slope towards it, so
+    most need no EM; where one language is likeliest in every sentence no set can beat it.
     """
     ll = scores * TEMPER
     ll = ll - ll.max(1, keepdims=True)
     like = np.exp(np.maximum(ll, -600))
-    keep = np.flatnonzero(like.max(0) > 1e-12)
-
-    def em(use: np.ndarray) -> tuple[float, np.ndarray]:
-        part = like[:, use] + 1e-300
-        pi = np.full(len(use), 1 / len(use))
-        for _ in range(EM_ROUNDS):
-            post = part * pi
-            post /= post.sum(1, keepdims=True)
-            pi = (post * weights[:, None]).sum(0) + 1e-9
-            pi /= pi.sum()
-        return float(np.log((part * pi).sum(1)).sum()), pi
-
-    # languages that win no sentence outright can't pay for themselves
-    winners = np.unique(like.argmax(1))
-    keep = np.intersect1d(keep, winners) if len(winners) else keep
-    if len(keep) == 1:  # every sentence is likeliest in one language
-        full = np.zeros(scores.shape[1])
-        full[keep] = 1.0
+    full = np.zeros(scores.shape[1])
+    winners = tuple(np.unique(ll.argmax(1)).tolist())
+    if len(winners) == 1:
+        full[winners[0]] = 1.0
         return full, np.broadcast_to(full, scores.shape)
-    value, pi = em(keep)
-    while len(keep) > 1:
-        order = np.argsort(pi)
+    fitted: dict[tuple[int, ...], tuple[float, np.ndarray]] = {}
+
+    def em(use: tuple[int, ...]) -> tuple[float, np.ndarray]:
+        if use not in fitted:
+            part = like[:, use] + 1e-300
+            pi = np.full(len(use), 1 / len(use))
+            for _ in range(EM_ROUNDS if len(use) > 1 else 0):
+                post = part * pi
+                post /= post.sum(1, keepdims=True)
+                pi = (post * weights[:, None]).sum(0) + 1e-9
+                pi /= pi.sum()
+            # alone, a language's likelihood is known without the floor of the exponential
+            value = float(np.log((part * pi).sum(1)).sum()) if len(use) > 1 else float(ll[:, use[0]].sum())
+            fitted[use] = value - PENALTY * len(use), pi
+        return fitted[use]
+
+    def better(sets: list[tuple[float, tuple[int, ...]]], value: float) -> tuple[int, ...] | None:
+        """The best set of more than a value, by falling bound."""
         best = None
-        for drop in order:
-            rest = np.delete(keep, drop)
-            v, p = em(rest)
-            if v + PENALTY >= value and (best is None or v > best[0]):
-                best = (v, rest, p)
-        if best is None:
+        for bound, other in sorted(sets, reverse=True):
+            if bound <= value + 1e-9:
+                break
+            if em(other)[0] > value + 1e-9:
+                value, best = em(other)[0], other
+        return best
+
+    def climb(use: tuple[int, ...]) -> tuple[int, ...]:
+        while True:
+            value, pi = em(use)
+            sets: list[tuple[float, tuple[int, ...]]] = []
+            slope = (like / ((like[:, use] * pi).sum(1) + 1e-300)[:, None]).sum(0) - len(ll)
+            for gone in (None, *use):
+                rest = tuple(k for k in use if k != gone)
+                top = ll[:, rest].max(1) if rest else np.full(len(ll), -np.inf)
+                if gone is not None and rest:
+                    sets.append((float(top.sum()) - PENALTY * len(rest), rest))
+                reach = np.maximum(top[:, None], ll).sum(0) - PENALTY * (len(rest) + 1)
+                if gone is None:
+                    reach = np.minimum(reach, value + np.maximum(slope, slope[list(use)].max()) - PENALTY)
+                sets += [(float(reach[k]), tuple(sorted((*rest, k)))) for k in np.flatnonzero(reach > value + 1e-9).tolist() if k not in use]
+            best = better(sets, value)
+            if best is None:
+                return use
+            use = best
+
+    keep = climb(winners)
+    while True:
+        n = range(ll.shape[1])
+        sets = [(float(v), (k,)) for k, v in enumerate(ll.sum(0) - PENALTY)]
+        sets += [(float(v), (i, j)) for i in n for j, v in enumerate(np.maximum(ll[:, i : i + 1], ll).sum(0) - 2 * PENALTY) if j > i and v > em(keep)[0]]
+        other = better(sets, em(keep)[0])
+        if other is None:
             break
-        value, keep, pi = best
-    full = np.zeros(scores.shape[1])
-    full[keep] = pi
+        keep = climb(other)
+    full[list(keep)] = em(keep)[1]
     post = like * full
     total = post.sum(1, keepdims=True)
     lost = total[:, 0] <= 0

@@ -283,6 +283,55 @@ def test_mixture_keeps_only_languages_that_pay():
     assert mix[1] == 0 and list(post.argmax(1)) == [0, 0, 0, 2] and abs(mix.sum() - 1) < 1e-9
 
 
+def test_a_language_that_wins_no_sentence_may_be_the_best():
+    scores = np.array([[0.0, -40, -2], [0, -40, -2], [-40, 0, -2], [-40, 0, -2]])
+    mix, post = langmix.fit_mixture(scores, np.ones(4))
+    assert list(post.argmax(1)) == [2, 2, 2, 2] and mix[2] == 1
+    # far enough behind it isn't
+    mix, post = langmix.fit_mixture(np.where(scores == -2, -30.0, scores), np.ones(4))
+    assert list(post.argmax(1)) == [0, 0, 1, 1]
+
+
+def test_the_chosen_set_is_the_best_of_all_sets():
+    import itertools
+
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        n = int(rng.integers(1, 9))
+        scores = -rng.exponential(12, (n, 5)) * rng.integers(0, 2, (n, 5))
+        weights = rng.integers(5, 90, n).astype(float)
+        ll = scores * langmix.TEMPER
+        ll = ll - ll.max(1, keepdims=True)
+
+        def value(use):
+            part = np.exp(ll[:, use])
+            pi = np.full(len(use), 1 / len(use))
+            for _ in range(langmix.EM_ROUNDS if len(use) > 1 else 0):
+                post = part * pi / (part * pi).sum(1, keepdims=True)
+                pi = (post * weights[:, None]).sum(0)
+                pi = pi / pi.sum()
+            return float(np.log((part * pi).sum(1)).sum()) - langmix.PENALTY * len(use)
+
+        sets = [list(s) for k in range(1, 6) for s in itertools.combinations(range(5), k)]
+        mix, _ = langmix.fit_mixture(scores, weights)
+        assert value(list(np.flatnonzero(mix))) > max(map(value, sets)) - 0.05
+
+
+def test_words_of_any_length_have_their_own_hash():
+    long = "a" * 500
+    texts = [f" {long} ", f" {long}b ", f" x {long} ", " a "]
+    g = langmix._Grams(texts)
+    words = g.hashes[-g.kinds[-1] :].tolist()
+    assert len(words) == 5 and words[0] == words[3] and len(set(words)) == 4
+
+
+def test_scripts_of_one_language_settle_a_sentence():
+    model = langmix.Model([("th", "กา ขา คา"), ("ru", "слой поиска"), ("uk", "шар пошуку"), ("en", "a search layer"), ("ja", "検索の層だ"), ("zh", "检索层")])
+    assert {k: [model.langs[i] for i in v] for k, v in model.writers.items() if v} == {"": ["en"], "thai": ["th"], "kana": ["ja"], "cyrillic": ["ru", "uk"], "han": ["ja", "zh"]}
+    ll, ok = model.scores(["ขา", "слой", "検索の層", "search", "ใช้ search"])
+    assert ok.all() and [model.langs[k] for k in ll.argmax(1)] == ["th", "ru", "ja", "en", "th"]
+
+
 def test_cell_search_against_brute_force():
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((20, 64))
