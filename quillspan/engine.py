@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import replace
 from typing import Any
 
@@ -16,14 +16,16 @@ from .functions.registry import GLOBAL, Registry, Signature
 from .functions.types import handler_of
 from .operators.embed import Embedder
 from .operators.rerank import Reranker
+from .operators.text import by_script
 from .plans import plan
-from .plans.analyze import Analyzed, analyze
+from .plans.analyze import PROFILES, Analyzed, Profile, analyze
 from .plans.ir import Query
 from .plans.parse import parse
 from .plans.schema import query_schema, tool
 from .ship import ship
-from .sources.collection import Collection, Store
+from .sources.collection import Collection
 from .sources.ingest import Pipeline
+from .sources.store import Store
 
 
 class Engine:
@@ -31,8 +33,11 @@ class Engine:
 
     ``field_types`` declares the type of metadata fields (text, number, date or a
     registered one).  ``strict`` makes an ordered comparison of incomparable values an
-    error; otherwise it is false.  ``insertion_order=False`` leaves the rows of a query
-    without ORDER BY, similarity or LIMIT unsorted, which saves a shuffle of the result.
+    error; otherwise it is false.  ``insertion_order=True`` sorts also the rows of a query
+    without ORDER BY, similarity or LIMIT, which shuffles the result.  ``profile`` is the
+    layout that a store's collection has: one that isn't exact searches its cells
+    (``store.build_cells``).  ``embedding_cache`` is a folder of vectors that ingestion
+    looks texts up in; ``script_splitters`` are splitters by script (cjk, latin, default).
     """
 
     def __init__(
@@ -49,8 +54,11 @@ class Engine:
         reranker: Reranker | None = None,
         rerank_factor: int = 5,
         strict: bool = True,
-        insertion_order: bool = True,
+        insertion_order: bool = False,
         registry: Registry | None = None,
+        profile: Profile = PROFILES["local"],
+        embedding_cache: str | None = None,
+        script_splitters: Mapping[str, Callable[[Column], Column]] | None = None,
     ):
         if collection is None and store is None:
             raise PlanError("an engine needs a collection or a store")
@@ -60,7 +68,10 @@ class Engine:
         self.field_types = dict(field_types or {})
         self.reranker, self.rerank_factor, self.strict, self.insertion_order = reranker, rerank_factor, strict, insertion_order
         self.registry = registry or GLOBAL.child()
-        self.pipeline = Pipeline(self.registry, embedder, self.granularity, normalizer)
+        self.profile = profile
+        if script_splitters:
+            self.registry.splitter(self.granularity, build=by_script(**script_splitters), overwrite=True)
+        self.pipeline = Pipeline(self.registry, embedder, self.granularity, normalizer, embedding_cache)
         self._vector_names: set[str] = set(self.named_embedders)
         self._query_vectors: dict[tuple[str, str], list[float]] = {}
 
@@ -70,7 +81,7 @@ class Engine:
     def collection(self) -> Collection:
         if self._collection is not None:
             return self._collection
-        return self.store.collection(self.granularity, sorted(self._vector_names))
+        return self.store.collection(self.granularity, sorted(self._vector_names), self.profile)
 
     def query(self, q: str | Query | Builder | Mapping[str, Any], limit: int | None = None) -> Query:
         """Any front end's query as nodes; a limit overrides its own."""
@@ -116,7 +127,7 @@ class Engine:
         plan.check_granularity(query, c.granularity)
         names = {s.key: n for n, e in query.let for s in a.scorers.values() if getattr(e, "key", None) == s.key}
         named = any(s.vector != "default" for s in a.scorers.values())
-        recall = "scan" if not a.scorers else "scored-scan" if named else "exact-top-k" if query.limit is not None else "exact-all"
+        recall = "scan" if not a.scorers else "approximate-top-k" if plan.approximate(a, c) else "scored-scan" if named else "exact-top-k" if query.limit is not None else "exact-all"
         out: dict[str, Any] = {
             "ir": query.to_dict(),
             "select": {"unit": query.select.unit, "window": query.select.window},
@@ -174,9 +185,9 @@ class Engine:
                 r.setdefault("doc_id", uuid.uuid4().hex)
             ids = [r["doc_id"] for r in rows]
             documents = self.pipeline.frame(self.spark, rows)
-        docs, units = self.pipeline.run(documents, store.next_seq())
+        docs, units = self.pipeline.run(documents)
         store.append(docs, units)
-        return ids
+        return list(dict.fromkeys(ids))
 
     def add_text(self, text: str, metadata: Mapping[str, Any] | None = None, doc_id: str | None = None) -> str:
         return self.add_documents([{"text": text, "metadata": dict(metadata or {})} | ({"doc_id": doc_id} if doc_id else {})])[0]
@@ -194,9 +205,9 @@ class Engine:
 
         ids: list[str] = []
         for path in [paths] if isinstance(paths, str) else paths:
-            docs = load_documents(self.spark, path, loader, metadata, **options)
-            self.add_documents(docs)
-            ids += [r.doc_id for r in docs.select("doc_id").collect()]
+            self.add_documents(load_documents(self.spark, path, loader, metadata, **options))
+            # the ids that were stored; the files aren't read again
+            ids += [r.doc_id for r in self.spark.read.parquet(f"{self.store.path}/documents/{self.store.manifests()[-1]['version']:08d}").select("doc_id").orderBy("doc_id").collect()]
         return ids
 
     add_file = add_files
@@ -209,11 +220,6 @@ class Engine:
             e = self.named_embedders.get(name, self.embedder)
             vectors[name] = (e.embed_images([value]) if isinstance(value, bytes) else e.embed([value]))[0].tolist()
             self._vector_names.add(name)
-        units = self.pipeline.unit_frame(self.spark, ident, content, vectors, metadata or {}, kind or self.granularity, store.next_seq())
-        units.write.mode("append").parquet(f"{store.path}/units")
+        units = self.pipeline.unit_frame(self.spark, ident, content, vectors, metadata or {}, kind or self.granularity)
+        store.append(None, units)
         return ident
-
-    def content_column(self) -> Column:
-        from pyspark.sql import functions as F
-
-        return F.col("content")

@@ -28,14 +28,14 @@ def like_pattern(pattern: str) -> str:
 
 
 def like(text: Column, pattern: Column) -> Column:
-    return F.expr("true") if text is None else F.call_function("like", text, F.replace(pattern, F.lit("\\"), F.lit("\\\\")))
+    return F.call_function("like", text, F.replace(pattern, F.lit("\\"), F.lit("\\\\")))
 
 
 _UNSUPPORTED = re.compile(r"\(\?\(|\(\?#|\(\?P>|\(\?[aLu]+[):]")
 
 
 def java_pattern(pattern: str) -> str:
-    """A Python pattern in Java's dialect; what Java can't express is refused."""
+    """A Python pattern in Java's dialect, its classes Unicode ones; what Java can't express is refused."""
     if _UNSUPPORTED.search(pattern):
         raise PlanError(f"MATCH can't express {pattern!r}")
     try:
@@ -44,7 +44,7 @@ def java_pattern(pattern: str) -> str:
         raise PlanError(f"bad pattern {pattern!r}: {e}") from e
     p = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{m[1].replace('_', 'u')}>", pattern)
     p = re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\\\k<{m[1].replace('_', 'u')}>", p)
-    return p.replace(r"\Z", r"\z")
+    return "(?U)" + p.replace(r"\Z", r"\z")
 
 
 def match(text: Column, pattern: Column) -> Column:

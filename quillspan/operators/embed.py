@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import json
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import Any, Protocol
@@ -159,21 +158,33 @@ class LocalModelEmbedder:
         return unit_rows(self._load().encode([Image.open(io.BytesIO(i) if isinstance(i, bytes) else i) for i in images], convert_to_numpy=True))
 
 
-def embed_column(text: Column, embedder: Embedder) -> Column:
-    """Vectors of a text column, one Arrow batch at a time."""
+def _of_present(embed: Callable[[list], np.ndarray], s: pd.Series) -> pd.Series:
+    """Vectors of the rows that aren't null; the others have none and aren't sent to the model."""
+    out: list[np.ndarray | None] = [None] * len(s)
+    at = np.flatnonzero(s.notna().to_numpy())
+    if len(at):
+        for i, v in zip(at, embed(s.iloc[at].tolist())):
+            out[i] = v
+    return pd.Series(out, dtype=object)
+
+
+def embed_column(text: Column, embedder: Embedder, keep_null: bool = False) -> Column:
+    """Vectors of a text column, one Arrow batch at a time; null counts as an empty text or stays null."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series(list(embedder.embed(s.fillna("").tolist())))
+            yield _of_present(embedder.embed, s if keep_null else s.fillna(""))
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, VECTOR)(text)
 
 
 def embed_image_column(image: Column, embedder: ImageEmbedder) -> Column:
+    """The same for images; null stays null."""
+
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series(list(embedder.embed_images(s.tolist())))
+            yield _of_present(embedder.embed_images, s)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, VECTOR)(image)
@@ -192,16 +203,13 @@ def embed_cached(df: DataFrame, text: str, embedder: Embedder, cache_path: str,
     """Vectors from the cache table where they are; each missing text is embedded once and appended to it."""
     spark = df.sparkSession
     keyed = df.withColumn("__key", cache_key(F.coalesce(F.col(text), F.lit("")), embedder))
-    try:
+    where = spark._jvm.org.apache.hadoop.fs.Path(cache_path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         have = spark.read.schema("key string, vector array<float>").parquet(cache_path)
-    except Exception:  # no cache yet
+    else:
         have = spark.createDataFrame([], "key string, vector array<float>")
     missing = keyed.select("__key", F.coalesce(F.col(text), F.lit("")).alias("t")).groupBy("__key").agg(F.first("t").alias("t"))
     missing = missing.join(have, missing["__key"] == have["key"], "left_anti")
     missing.select(F.col("__key").alias("key"), embed_column(F.col("t"), embedder).alias("vector")).write.mode("append").parquet(cache_path)
     known = spark.read.schema("key string, vector array<float>").parquet(cache_path).dropDuplicates(["key"])
     return keyed.join(known.select(F.col("key").alias("__key"), F.col("vector").alias(vector)), "__key", "left").drop("__key")
-
-
-def embedder_to_json(e: Embedder) -> str:
-    return json.dumps({"model": e.model_id, "dim": e.dim})

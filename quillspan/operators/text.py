@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import RegistryError
 from ..functions.registry import GLOBAL
 
 #: sentence ends: western marks before a blank, full-width ones anywhere, line breaks
@@ -28,6 +29,16 @@ def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nfc_each(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda ts: [t if t is None else unicodedata.normalize("NFC", t) for t in ts], na_action="ignore")
+
+
+def nfc_all(texts: Column) -> Column:
+    """Composed characters in every text of an array; Python only for rows with one that isn't ASCII."""
+    return F.when(F.exists(texts, lambda t: t.rlike(r"[^\x00-\x7F]")), _nfc_each(texts)).otherwise(texts)
+
+
 def normalize(text: Column, nfc: bool = True) -> Column:
     """Composed characters, single blanks, no empty lines, no blanks around lines; Python only for non-ASCII rows."""
     if nfc:
@@ -84,6 +95,19 @@ def by_script(**splitters: Callable[[Column], Column]) -> Callable[[Column], Col
     return route
 
 
+def pysbd_sentences(language: str = "en") -> Callable[[str], list[str]]:
+    """A Python splitter by the pysbd library, where that is installed; for ``register_splitter(..., python=...)``."""
+
+    def split(text: str) -> list[str]:
+        try:
+            from pysbd import Segmenter
+        except ImportError as e:
+            raise RegistryError("this splitter needs pysbd, which isn't installed") from e
+        return [s.strip() for s in Segmenter(language=language, clean=False).segment(text) if s.strip()]
+
+    return split
+
+
 GLOBAL.splitter("SENTENCE", build=sentences)
 GLOBAL.splitter("CHUNK", build=chunks)
 GLOBAL.splitter("DOCUMENT", build=whole)

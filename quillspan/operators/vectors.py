@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ExecutionError
+from .threads import one_thread
 
+#: bytes of query vectors that go to every task at once
+QUERY_BYTES = 32_000_000
 #: score of a row without the named vector
 MISSING = -2.0
 
@@ -56,45 +58,64 @@ def top_k(df: DataFrame, vector: str, query: Sequence[float], k: int | None, tie
     return out if k is None else out.limit(k)
 
 
+def matrix(vectors: pa.Array, dim: int) -> np.ndarray:
+    """Rows of a list column that has no nulls, without a copy a row."""
+    size = np.asarray(vectors.value_lengths())
+    if len(size) and (size != dim).any():
+        raise ExecutionError(f"query vectors of {dim} numbers, stored ones of {int(size[size != dim][0])}")
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+
+
 def batch_top_k(df: DataFrame, ident: str, vector: str, queries: DataFrame, k: int, block: int = 1024, min_score: float | None = None) -> DataFrame:
     """(query_id, *ident*, score, rank): exact top-k of every query vector against all rows, in blocks.
 
-    ``queries`` is a stated query set (query_id, vector).  Its blocks are broadcast one
-    by one inside the tasks as matrices; each task keeps k rows a query, and only those
-    are shuffled.
+    ``queries`` is a stated query set (query_id, vector) of any size.  It is taken in parts
+    of QUERY_BYTES, one after the other: each part is broadcast, each task keeps k rows a
+    query, and only those are shuffled.
     """
-    rows = queries.select("query_id", "vector").collect()
-    if not rows:
-        return df.limit(0).select(F.lit(None).cast("bigint").alias("query_id"), F.col(ident), F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("rank"))
-    ids = np.array([r.query_id for r in rows])
-    mat = np.array([r.vector for r in rows], np.float64)
-    shared = df.sparkSession.sparkContext.broadcast((ids, mat))
     kind = dict(df.dtypes)[ident]
+    asked = queries.where(F.col("vector").isNotNull()).select(F.col("query_id").cast("bigint").alias("query_id"), "vector")
+    count, dim = asked.agg(F.count("*"), F.max(F.size("vector"))).first()
+    if not count:
+        return df.limit(0).select(F.lit(None).cast("bigint").alias("query_id"), F.col(ident), F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("rank"))
+    parts = -(-count * dim * 8 // QUERY_BYTES)
+    found = None
+    for p in range(parts):
+        mine = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p) if parts > 1 else asked
+        some = _scan_for(df, ident, vector, mine, dim, k, block, min_score, kind)
+        found = some if found is None else found.unionByName(some)
+    by = Window.partitionBy("query_id").orderBy(F.desc("score"), ident)
+    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+
+def best_of_block(sim: np.ndarray, k: int, min_score: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of the k best of each query, with the ties at the edge, so that the final order decides."""
+    n = min(k, sim.shape[1])
+    edge = np.partition(sim, sim.shape[1] - n, 1)[:, sim.shape[1] - n]
+    if min_score is not None:
+        edge = np.maximum(edge, min_score)
+    return np.nonzero(sim >= edge[:, None])
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scan_for(df: DataFrame, ident: str, vector: str, queries: DataFrame, dim: int, k: int, block: int, min_score: float | None, kind: str) -> DataFrame:
+    table = queries.toArrow()
+    shared = df.sparkSession.sparkContext.broadcast((table.column("query_id").to_numpy(), matrix(table.column("vector").combine_chunks(), dim)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         names, q = shared.value
-        for pdf in batches:
-            pdf = pdf[pdf["v"].notna()]
-            if not len(pdf):
+        for b in batches:
+            there = np.flatnonzero(np.asarray(b.column(1).is_valid()))
+            if not len(there):
                 continue
-            m = np.stack(pdf["v"].to_list()).astype(np.float64)
-            if m.shape[1] != q.shape[1]:
-                raise ExecutionError(f"query vectors of {q.shape[1]} numbers, stored ones of {m.shape[1]}")
-            key = pdf["i"].to_numpy()
+            at = pa.array(there)
+            m, key = matrix(b.column(1).take(at), dim), b.column(0).take(at)
             for s in range(0, len(q), block):
                 sim = q[s : s + block] @ m.T
-                n = min(k, sim.shape[1])
-                # ties at the edge of a batch stay in, so that the final order decides
-                edge = np.partition(sim, sim.shape[1] - n, 1)[:, sim.shape[1] - n]
-                a, b = np.nonzero(sim >= edge[:, None])
-                if min_score is not None:
-                    good = sim[a, b] >= min_score
-                    a, b = a[good], b[good]
-                yield pd.DataFrame({"query_id": names[s + a], ident: key[b], "score": sim[a, b]})
-
-    found = df.select(F.col(ident).alias("i"), F.col(vector).alias("v")).mapInPandas(run, f"query_id bigint, `{ident}` {kind}, score double")
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), ident)
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+                x, y = best_of_block(sim, k, min_score)
+                yield pa.RecordBatch.from_arrays([pa.array(names[s + x], pa.int64()), key.take(pa.array(y)), pa.array(sim[x, y])], names=["query_id", ident, "score"])
+
+    return df.select(ident, vector).mapInArrow(run, f"query_id bigint, `{ident}` {kind}, score double")
 
 
 class CellIndex:
@@ -106,8 +127,8 @@ class CellIndex:
     ``radii`` of the cells (without them it reads all).
     """
 
-    def __init__(self, path: str, centres: np.ndarray, vector: str, radii: np.ndarray | None = None):
-        self.path, self.centres, self.vector = path, centres, vector
+    def __init__(self, path: str, centres: np.ndarray, vector: str, radii: np.ndarray | None = None, probes: int = 8):
+        self.path, self.centres, self.vector, self.probes = path, centres, vector, probes
         self.radii = np.full(len(centres), np.inf) if radii is None else radii
 
     @classmethod
@@ -127,28 +148,42 @@ class CellIndex:
             radii[r.cell] = r.far
         return cls(path, centres, vector, radii)
 
+    def wider(self) -> CellIndex:
+        """The same, reading twice as many cells."""
+        return CellIndex(self.path, self.centres, self.vector, self.radii, 2 * self.probes)
+
+    def near(self, spark, query: Sequence[float]) -> DataFrame:
+        """The rows of the ``probes`` cells nearest to the query; others aren't read."""
+        order = np.argsort(((self.centres - np.asarray(query, np.float64)) ** 2).sum(1), kind="stable")
+        return spark.read.parquet(self.path).where(F.col("cell").isin([int(x) for x in order[: self.probes]]))
+
+    def to_json(self) -> dict:
+        return {"path": self.path, "vector": self.vector, "centres": self.centres.tolist(), "radii": self.radii.tolist(), "probes": self.probes}
+
+    @classmethod
+    def from_json(cls, d: dict) -> CellIndex:
+        return cls(d["path"], np.array(d["centres"]), d["vector"], np.array(d["radii"]), d["probes"])
+
     def _place(self, df: DataFrame) -> DataFrame:
         c = self.centres
         half = (c * c).sum(1) / 2
 
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for s in batches:
-                m = np.stack(s.to_list()).astype(np.float64) if len(s) else np.zeros((0, c.shape[1]))
-                yield pd.Series((m @ c.T - half).argmax(1).astype("int32"))
+        def run(a: pa.Array) -> pa.Array:
+            one_thread()
+            return pa.array((matrix(a, c.shape[1]) @ c.T - half).argmax(1).astype("int32"))
 
-        run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        return df.withColumn("cell", F.pandas_udf(run, T.IntegerType())(F.col(self.vector)))
+        run.__annotations__ = {"a": pa.Array, "return": pa.Array}
+        return df.withColumn("cell", F.arrow_udf(run, T.IntegerType())(F.col(self.vector)))
 
     def _distance(self) -> Column:
         """Of a placed row from the centre of its cell."""
         c = self.centres
 
-        def run(vec: pd.Series, cell: pd.Series) -> pd.Series:
-            m = np.stack(vec.to_list()).astype(np.float64) if len(vec) else np.zeros((0, c.shape[1]))
-            return pd.Series(np.sqrt(((m - c[cell.to_numpy()]) ** 2).sum(1)))
+        def run(vec: pa.Array, cell: pa.Array) -> pa.Array:
+            return pa.array(np.sqrt(((matrix(vec, c.shape[1]) - c[cell.to_numpy()]) ** 2).sum(1)))
 
-        run.__annotations__ = {"vec": pd.Series, "cell": pd.Series, "return": pd.Series}
-        return F.pandas_udf(run, T.DoubleType())(F.col(self.vector), F.col("cell"))
+        run.__annotations__ = {"vec": pa.Array, "cell": pa.Array, "return": pa.Array}
+        return F.arrow_udf(run, T.DoubleType())(F.col(self.vector), F.col("cell"))
 
     def search(self, spark, query: Sequence[float], k: int, probes: int = 8, condition: Column | None = None, tie: Sequence[str] = ()) -> DataFrame:
         """Partition pruning reads only the probed cells; more are probed while they leave fewer than k."""
@@ -186,25 +221,24 @@ class CellIndex:
         """The k best rows of each query among the cells it reaches."""
         shared = spark.sparkContext.broadcast((ids, q, reach))
         df = spark.read.parquet(self.path)
-        kind = dict(df.dtypes)[ident]
+        kind, dim = dict(df.dtypes)[ident], q.shape[1]
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            one_thread()
             names, vectors, cells = shared.value
-            for whole in batches:
-                for cell, pdf in whole.groupby("cell"):
-                    m = np.stack(pdf["v"].to_list()).astype(np.float64)
-                    key = pdf["i"].to_numpy()
+            for b in batches:
+                of = b.column(2).to_numpy()
+                for cell in np.unique(of):
+                    at = pa.array(np.flatnonzero(of == cell))
+                    m, key = matrix(b.column(1).take(at), dim), b.column(0).take(at)
                     asked = np.flatnonzero(cells[:, cell])
                     for s in range(0, len(asked), block):
                         some = asked[s : s + block]
                         sim = vectors[some] @ m.T
-                        n = min(k, sim.shape[1])
-                        # ties at the edge stay in, so that the final order decides
-                        edge = np.partition(sim, sim.shape[1] - n, 1)[:, sim.shape[1] - n]
-                        a, b = np.nonzero(sim >= edge[:, None])
-                        yield pd.DataFrame({"query_id": names[some[a]], ident: key[b], "score": sim[a, b]})
+                        x, y = best_of_block(sim, k)
+                        yield pa.RecordBatch.from_arrays([pa.array(names[some[x]], pa.int64()), key.take(pa.array(y)), pa.array(sim[x, y])], names=["query_id", ident, "score"])
 
         read = df.where(F.col("cell").isin([int(x) for x in np.flatnonzero(reach.any(0))]))
-        found = read.select(F.col(ident).alias("i"), F.col(self.vector).alias("v"), "cell").mapInPandas(run, f"query_id bigint, `{ident}` {kind}, score double")
+        found = read.select(ident, self.vector, "cell").mapInArrow(run, f"query_id bigint, `{ident}` {kind}, score double")
         by = Window.partitionBy("query_id").orderBy(F.desc("score"), ident)
         return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)

@@ -320,17 +320,18 @@ class Compiler:
         return F.lit(False)
 
     def _raw_variant(self, op: str, left: Value, right: Value) -> Column:
+        """By kind: numbers and booleans as numbers, text as text, anything else only equal to itself."""
         texts = [v.variant("string") if v.kind == "variant" else v.text for v in (left, right)]
         kinds = [_variant_kind(v.col) if v.kind == "variant" else F.lit(v.kind) for v in (left, right)]
+        counted = [_counted(v, k) for v, k in zip((left, right), kinds)]
         there = left.col.isNotNull() & right.col.isNotNull()
         same = kinds[0] == kinds[1]
         if op in ("==", "!="):
-            equal = F.when(there, same & (F.lower(texts[0]) == F.lower(texts[1]) if {left.kind, right.kind} & {"bool"} else texts[0] == texts[1])).otherwise(left.col.isNull() & right.col.isNull())
+            equal = F.when(there, F.coalesce(counted[0] == counted[1], same & (texts[0] == texts[1]))).otherwise(left.col.isNull() & right.col.isNull())
             return equal if op == "==" else ~equal
-        ordered = F.when(there & same & (kinds[0] == "text"), _OPS[op](*texts))
-        if not self.scope.strict:
-            return F.coalesce(ordered, F.lit(False))
-        return F.when(~there, F.lit(False)).when(same & (kinds[0] == "text"), _OPS[op](*texts)).otherwise(F.raise_error(F.lit(f"can't compare by {op}")).cast("boolean"))
+        ordered = F.coalesce(_OPS[op](*counted), F.when(same & (kinds[0] == "text"), _OPS[op](*texts)))
+        failed = F.raise_error(F.lit(f"can't compare by {op}")).cast("boolean") if self.scope.strict else F.lit(False)
+        return F.when(~there, F.lit(False)).when(ordered.isNotNull(), ordered).otherwise(failed)
 
     # ordering
 
@@ -380,6 +381,13 @@ def _whole(op: str, a: Column, x: float) -> Column:
     return a <= F.lit(floor(x)) if op in ("<", "<=") else a >= F.lit(ceil(x))
 
 
+def _counted(v: Value, kind: Column) -> Column:
+    """A number as it is and a boolean as 0 or 1; null for the rest."""
+    if v.kind == "variant":
+        return F.when(kind == "number", v.variant("double")).when(kind == "bool", v.variant("boolean").cast("double"))
+    return v.col.cast("double") if v.kind in ("number", "bool") else F.expr("cast(null as double)")
+
+
 def _truth(v: Value) -> Column:
     if v.kind == "bool":
         return F.coalesce(v.col, F.lit(False))

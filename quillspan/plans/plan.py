@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +18,8 @@ from .analyze import Analyzed
 from .compile import Compiler, Scope
 from .ir import Query
 
+#: times its limit that an approximate search wants to find before it stops reading cells
+OVERFETCH = 3
 #: a SPAN of at most so many hits takes them first and broadcasts them
 SPAN_JOIN = 10_000
 
@@ -51,7 +53,7 @@ def check_granularity(query: Query, indexed: str) -> None:
 def build(a: Analyzed, c: Collection, query_vectors: Mapping[str, list[float]], s: Settings) -> DataFrame:
     q = a.query
     check_granularity(q, c.granularity)
-    df = c.units
+    df = _recalled(a, c, query_vectors, s)
     scores: dict[str, Column] = {}
     for i, scorer in enumerate(a.scorers.values()):
         if scorer.vector not in c.vectors and scorer.vector == "default":
@@ -65,6 +67,12 @@ def build(a: Analyzed, c: Collection, query_vectors: Mapping[str, list[float]],
     comp = Compiler(Scope(F.col("content"), c.field_columns(), open_, s.registry, a.bindings, scores, s.field_types, s.strict))
     if q.where is not None:
         df = df.where(comp.where(q.where))
+        if approximate(a, c):
+            # a filter may leave too few of the nearest cells: more are read while it does
+            want = q.limit * OVERFETCH
+            while c.cells.probes < len(c.cells.centres) and df.limit(want).count() < want:
+                wider = replace(c, cells=c.cells.wider())
+                return build(a, wider, query_vectors, s)
     names = []
     for name, e in q.let:
         df = df.withColumn(f"__let_{name}", comp.value(e).col)
@@ -101,6 +109,24 @@ def build(a: Analyzed, c: Collection, query_vectors: Mapping[str, list[float]],
     return df.select(*out, *shown, *([metadata.alias("metadata")] if metadata is not None else []))
 
 
+def approximate(a: Analyzed, c: Collection) -> bool:
+    """Whether the nearest cells are enough: an index, a layout that allows it, and a limit on one similarity's order."""
+    q = a.query
+    if c.profile.exact or c.cells is None or q.limit is None or len(a.scorers) != 1 or next(iter(a.scorers.values())).vector != "default":
+        return False
+    if not q.order_by:
+        return True
+    return q.order_by[0].desc and a.expand(q.order_by[0].expr).key == next(iter(a.scorers))
+
+
+def _recalled(a: Analyzed, c: Collection, query_vectors: Mapping[str, list[float]], s: Settings) -> DataFrame:
+    """The units to score: all, or those of the cells nearest to the query."""
+    if not approximate(a, c):
+        return c.units
+    near = c.cells.near(c.units.sparkSession, query_vectors[next(iter(a.scorers))])
+    return near.select(*c.units.columns) if c.newer is None else near.select(*c.units.columns).unionByName(c.newer.select(*c.units.columns))
+
+
 def _sorted(col: Column, desc: bool, nulls_first: bool) -> Column:
     if desc:
         return col.desc_nulls_first() if nulls_first else col.desc_nulls_last()
@@ -130,17 +156,22 @@ def _granularity(df: DataFrame, c: Collection, q: Query, keys: list[Column], met
         return out.select(F.concat("doc_id", F.lit("#chunk")).alias("unit_id"), "doc_id", F.lit(0).alias("ordinal"), "seq", "content", *meta, *rest, F.lit("chunk").alias("kind"))
     # sentences from coarser units; a unit may give none, so a limit comes after the split
     split = s.registry.get("splitter", "SENTENCE")
-    pieces = split.build(F.col("content")) if split and split.build else F.udf(split.python, "array<string>", useArrow=True)(F.col("content")) if split else text_ops.sentences(F.col("content"))
-    fine = df.select("doc_id", "ordinal", "seq", *meta, *rest, F.col("unit_id").alias("__unit"), F.posexplode(pieces).alias("__i", "content"))
+
+    def pieces(text: Column) -> Column:
+        if split is None:
+            return text_ops.sentences(text)
+        return split.build(text) if split.build else F.udf(split.python, "array<string>", useArrow=True)(text)
+
+    fine = df.select("doc_id", "ordinal", "seq", *meta, *rest, F.col("unit_id").alias("__unit"), F.posexplode(pieces(F.col("content"))).alias("__i", "content"))
     fine = fine.withColumn("unit_id", F.concat("doc_id", F.lit("#sent:"), F.col("ordinal").cast("string"), F.lit(":"), F.col("__i").cast("string")))
     if window is None:
-        return fine.select("unit_id", "doc_id", (F.col("ordinal") + F.col("__i")).alias("ordinal"), (F.col("seq") + F.col("__i") / 1e6).alias("seq"), "content", *meta, *rest, F.lit("sentence").alias("kind"))
+        return fine.select("unit_id", "doc_id", (F.col("ordinal") + F.col("__i")).alias("ordinal"), F.struct("seq", "__i").alias("seq"), "content", *meta, *rest, F.lit("sentence").alias("kind"))
     # neighbours are the document's sentences, numbered through all its units
-    every = c.units.select("doc_id", "ordinal", F.posexplode(text_ops.sentences(F.col("content"))).alias("__i", "content"))
+    every = c.units.select("doc_id", "ordinal", F.posexplode(pieces(F.col("content"))).alias("__i", "content"))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("ordinal", "__i")) - 1
     every = every.withColumn("__n", number)
     fine = fine.join(every.select("doc_id", "ordinal", "__i", "__n"), ["doc_id", "ordinal", "__i"])
-    fine = fine.select("unit_id", "doc_id", F.col("__n").alias("ordinal"), (F.col("seq") + F.col("__i") / 1e6).alias("seq"), "content", *meta, *rest)
+    fine = fine.select("unit_id", "doc_id", F.col("__n").alias("ordinal"), F.struct("seq", "__i").alias("seq"), "content", *meta, *rest)
     return _span(fine, every.select("doc_id", F.col("__n").alias("ordinal"), "content"), window, keys, early)
 
 

@@ -1,4 +1,4 @@
-"""Collections: DataFrames with a known envelope, and their storage as append-only Parquet."""
+"""Collections: DataFrames with a known envelope."""
 
 from __future__ import annotations
 
@@ -6,13 +6,14 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import SchemaError
 from ..operators import text as text_ops
 from ..operators.partition import spread
+from ..operators.vectors import CellIndex
 from ..plans.analyze import PROFILES, Profile
 
 ENVELOPE = ("unit_id", "doc_id", "ordinal", "seq", "content")
@@ -26,6 +27,8 @@ class Collection:
     other columns, ``open_metadata`` names a VARIANT, MAP or STRUCT column that holds
     the rest, ``vectors`` maps vector names to ARRAY<FLOAT> columns of unit length.
     ``documents`` (doc_id, content and the same metadata columns) serves DOCUMENT results.
+    ``seq`` may be of any type that can be ordered.  Where the profile isn't exact, ``cells``
+    is a layout of the units that approximate searches read, ``newer`` the units it lacks.
     """
 
     units: DataFrame
@@ -35,6 +38,8 @@ class Collection:
     vectors: Mapping[str, str] = field(default_factory=dict)
     documents: DataFrame | None = None
     profile: Profile = PROFILES["local"]
+    cells: CellIndex | None = None
+    newer: DataFrame | None = None
 
     def __post_init__(self) -> None:
         missing = [c for c in (*ENVELOPE, *self.fields.values(), *self.vectors.values(), *([self.open_metadata] if self.open_metadata else [])) if c not in self.units.columns]
@@ -72,74 +77,11 @@ def split_units(docs: Collection, granularity: str, splitter: Callable[[Column],
     f = splitter or {"sentence": text_ops.sentences, "chunk": text_ops.chunks, "document": text_ops.whole}[granularity]
     rest = [c for c in docs.metadata_columns()]
     rows = spread(docs.units).select("doc_id", F.col("seq").alias("__s"), *rest, F.posexplode(f(F.col("content"))).alias("ordinal", "content"))
-    units = rows.select(F.concat_ws("", F.col("doc_id"), F.lit(f"#{granularity}:"), F.col("ordinal").cast("string")).alias("unit_id"), "doc_id", "ordinal", (F.col("__s") * 1_000_000 + F.col("ordinal")).alias("seq"), "content", *rest)
+    units = rows.select(F.concat_ws("", F.col("doc_id"), F.lit(f"#{granularity}:"), F.col("ordinal").cast("string")).alias("unit_id"), "doc_id", "ordinal", F.struct("__s", "ordinal").alias("seq"), "content", *rest)
     return Collection(units, granularity, docs.fields, docs.open_metadata, {}, docs.units.select("doc_id", "content", *rest), docs.profile)
 
 
 PAYLOAD = T.StructType([T.StructField(n, t) for n, t in (("modality", T.StringType()), ("text", T.StringType()), ("bytes", T.BinaryType()), ("uri", T.StringType()), ("mime", T.StringType()))])
-UNITS_SCHEMA = "unit_id string, doc_id string, kind string, ordinal int, seq bigint, content string, payload struct<modality:string,text:string,bytes:binary,uri:string,mime:string>, metadata variant, vector array<float>, vectors map<string,array<float>>"
-DOCS_SCHEMA = "doc_id string, seq bigint, payloads array<struct<modality:string,text:string,bytes:binary,uri:string,mime:string>>, metadata variant, source string"
-
-
-class Store:
-    """Append-only Parquet folders of units and documents; the highest seq of a document wins.
-
-    Adding a document again replaces all its units, also when it now has fewer.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        if not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-
-    def append(self, documents: DataFrame, units: DataFrame) -> None:
-        units.write.mode("append").parquet(f"{self.path}/units")
-        documents.write.mode("append").parquet(f"{self.path}/documents")
-
-    def next_seq(self) -> int:
-        top = self._read("documents", DOCS_SCHEMA).agg(F.max("seq")).first()[0]
-        units = self._read("units", UNITS_SCHEMA).agg(F.max("seq")).first()[0]
-        return max(top if top is not None else -1, units // 1_000_000 if units is not None else -1) + 1
-
-    def documents(self) -> DataFrame:
-        rows = self._read("documents", DOCS_SCHEMA)
-        latest = rows.groupBy("doc_id").agg(F.max("seq").alias("seq"))
-        return rows.join(latest, ["doc_id", "seq"], "left_semi").dropDuplicates(["doc_id"])
-
-    def units(self) -> DataFrame:
-        rows = self._read("units", UNITS_SCHEMA).withColumn("version", F.floor(F.col("seq") / 1_000_000))
-        latest = rows.groupBy("doc_id").agg(F.max("version").alias("version"))
-        return rows.join(latest, ["doc_id", "version"], "left_semi").drop("version").dropDuplicates(["unit_id"])
-
-    def document(self, doc_id: str) -> DataFrame:
-        return self.documents().where(F.col("doc_id") == doc_id)
-
-    def neighbours(self, doc_id: str, ordinal: int, window: int) -> DataFrame:
-        u = self.units()
-        return u.where((F.col("doc_id") == doc_id) & F.col("ordinal").between(ordinal - window, ordinal + window)).orderBy("ordinal")
-
-    def compact(self, target: str) -> Store:
-        """The current state alone, written to another folder."""
-        self.units().write.mode("overwrite").parquet(f"{target}/units")
-        self.documents().write.mode("overwrite").parquet(f"{target}/documents")
-        return Store(self.spark, target)
-
-    def count(self) -> int:
-        return self.units().count()
-
-    def collection(self, granularity: str, vector_names: Sequence[str] = (), profile: Profile = PROFILES["local"]) -> Collection:
-        units = self.units()
-        for n in vector_names:
-            units = units.withColumn(f"v_{n}", F.try_element_at("vectors", F.lit(n)))
-        text = F.array_join(F.transform(F.filter("payloads", lambda p: p["modality"] == "text"), lambda p: p["text"]), " ")
-        docs = self.documents().select("doc_id", text.alias("content"), "metadata")
-        return Collection(units, granularity, {}, "metadata", {"default": "vector"} | {n: f"v_{n}" for n in vector_names}, docs, profile)
-
 
 def upsert(current: DataFrame, new: DataFrame, key: str, seq: str) -> DataFrame:
     """Rows of both, for each key that of the highest seq (last write wins)."""
@@ -148,16 +90,6 @@ def upsert(current: DataFrame, new: DataFrame, key: str, seq: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*names), F.col(seq)).alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in names])
 
 
-def check_vectors(df: DataFrame, vector: str = "vector") -> DataFrame:
-    """Every row needs a vector, and all of one dimension: else the plan fails with a message."""
-    size = Window.partitionBy()
-    del size
-    first = df.select(F.size(vector).alias("n")).where("n > 0").limit(1).collect()
-    n = first[0].n if first else 0
-    ok = F.when(F.col(vector).isNull(), F.raise_error(F.lit("a unit has no vector"))).when(F.size(vector) != n, F.raise_error(F.lit(f"vectors must have {n} numbers"))).otherwise(F.col(vector))
-    return df.withColumn(vector, ok)
-
-
 def jdbc_scan(spark: SparkSession, url: str, table: str, condition: str | None = None, **options: Any) -> DataFrame:
     """A filtered scan of a relational table; the condition runs there."""
     query = f"SELECT * FROM {table}" + (f" WHERE {condition}" if condition else "")

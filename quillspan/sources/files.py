@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import os
 import zipfile
 from collections.abc import Callable, Iterator, Mapping
@@ -39,8 +40,10 @@ def load_documents(spark: SparkSession, path: str, loader: str | Loader | None =
     f = loader if callable(loader) else _NAMED[loader] if loader else loader_for(path)
     df = f(spark, path, **options)
     if metadata:
-        given = F.map_from_arrays(F.array(*map(F.lit, metadata)), F.array(*(F.lit(str(v)) for v in metadata.values())))
-        df = df.withColumn("metadata", F.map_zip_with("metadata", given, lambda k, a, b: F.coalesce(b, a)))
+        # given values keep their types
+        given = F.create_map(*[x for k, v in metadata.items() for x in (F.lit(k), F.parse_json(F.lit(json.dumps(v, default=str))))])
+        own = F.transform_values("metadata", lambda _, v: v.cast("variant"))
+        return df.withColumn("metadata", F.to_variant_object(F.map_zip_with(own, given, lambda _, a, b: F.coalesce(b, a))))
     return df.withColumn("metadata", F.parse_json(F.to_json("metadata")))
 
 
