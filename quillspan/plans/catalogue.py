@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..builder import content, contains, length, meta, ref, select, similarity
@@ -13,10 +14,13 @@ from ..functions.registry import Signature
 from ..functions.types import TypeHandler
 from ..operators import metrics, vectors
 from ..operators import text as text_ops
-from ..operators.embed import HashEmbedder, embed_column
+from ..operators.embed import HashEmbedder, embed_cached, embed_column
 from ..operators.rerank import TokenOverlap, overlap
-from ..sources.collection import Collection, of_table, split_units, upsert
-from . import translate
+from ..sources.collection import PAYLOAD, Collection, of_table, split_units, upsert
+from ..sources.files import load_documents
+from ..sources.store import Files, Store
+from . import schema, translate
+from .analyze import PROFILES
 from .parse import parse
 from .plan import neighbours
 
@@ -88,6 +92,44 @@ def search(c: Collection, text: str, *columns: str, **how) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+def workspace(spark: SparkSession) -> str:
+    """A folder of the cluster's shared one (of the machine's own only where none is set), gone when the session ends."""
+    import tempfile
+    import uuid
+
+    root = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}").rstrip("/")
+    name = f"{root}/quillspan-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return name
+
+
+def stored_documents(spark: SparkSession, d: str) -> Engine:
+    """The documents in a store by sentences, the drafts among them added a second time with another text."""
+    e = Engine(spark, store=Store(spark, workspace(spark), {"lang": "string", "n_chars": "bigint"}), granularity="sentence")
+    df = table(spark, d, "documents").where("text is not null")
+    text = lambda t: F.array(F.struct(F.lit("text").alias("modality"), t.alias("text"), F.lit(None).cast("binary").alias("bytes"), F.lit(None).cast("string").alias("uri"), F.lit("text/plain").alias("mime")))
+    rows = lambda x, t: x.select(F.col("doc_id").cast("string").alias("doc_id"), text(t).alias("payloads"), F.to_variant_object(F.struct("lang", "n_chars")).alias("metadata"), "source")
+    e.add_documents(rows(df, F.col("text")))
+    e.add_documents(rows(df.where("status = 'draft'"), F.concat(F.lit("Again. "), F.col("text"))))
+    return e
+
+
+def stored_vectors(spark: SparkSession, d: str, cells: int = 0, profile: str = "local") -> Engine:
+    """The embeddings as units of a store, in cells if asked for."""
+    store = Store(spark, workspace(spark), {"label": "bigint"})
+    units = table(spark, d, "embeddings").select(
+        F.col("vec_id").cast("string").alias("unit_id"), F.col("vec_id").cast("string").alias("doc_id"), F.lit("chunk").alias("kind"), F.col("vec_id").alias("doc_no"), F.lit(0).alias("ordinal"), F.lit("").alias("content"),
+        F.lit(None).cast(PAYLOAD).alias("payload"), F.to_variant_object(F.struct("label")).alias("metadata"), F.col("embedding").alias("vector"), F.lit(None).cast("map<string,array<float>>").alias("vectors"),
+    )
+    store.append(None, units, require_vectors=True)
+    if cells:
+        store.build_cells(cells, probes=cells)
+    return Engine(spark, store=store, granularity="chunk", profile=PROFILES[profile])
+
+
 def vector_of(spark: SparkSession, d: str, ident: int) -> list[float]:
     return list(table(spark, d, "embeddings").where(F.col("vec_id") == ident).select("embedding").first()[0])
 
@@ -386,12 +428,18 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", text_ops.script(F.col("text")).alias("script"))
 
 
-_NORM = r"regexp_replace(regexp_replace(text, '[ \t\x{A0}\x{3000}]+', ' ', 'g'), '\n{2,}', chr(10), 'g')"
+_NORM = r"regexp_replace(regexp_replace({x}, '[ \t\x{A0}\x{3000}]+', ' ', 'g'), '\n{2,}', chr(10), 'g')"
 
 
-@_query("normalize", "SELECT doc_id, " + _strip(f"list_reduce(list_transform(string_split({_NORM}, chr(10)), lambda l: {_strip('l')}), lambda a, b: a || chr(10) || b)") + " AS t FROM documents")
+def _normal(x: str) -> str:
+    """The default normaliser in SQL."""
+    lines = _NORM.replace("{x}", f"nfc_normalize({x})")
+    return _strip(f"list_reduce(list_transform(string_split({lines}, chr(10)), lambda l: {_strip('l')}), lambda a, b: a || chr(10) || b)")
+
+
+@_query("normalize", f"SELECT doc_id, {_normal('text')} AS t FROM documents")
 def _(s, d):
-    return table(s, d, "documents").select("doc_id", text_ops.normalize(F.col("text"), nfc=False).alias("t"))
+    return table(s, d, "documents").select("doc_id", text_ops.normalize(F.col("text")).alias("t"))
 
 
 # rerank and metrics
@@ -410,13 +458,13 @@ def _(s, d):
 
 @_query("metrics", f"""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, a.label = b.label AS good, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_cos('a.embedding', 'b.embedding')} DESC, b.vec_id) AS rank
       FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)
-    SELECT query_id, round(count(*) FILTER (good AND rank <= 10) / count(*) FILTER (good), 6) AS recall_at_k, round(coalesce(1.0 / min(rank) FILTER (good AND rank <= 50), 0), 6) AS reciprocal_rank FROM p GROUP BY query_id""")
+    SELECT query_id, round(count(*) FILTER (good AND rank <= 50) / count(*) FILTER (good), 6) AS hit_rate, round(count(*) FILTER (good AND rank <= 10) / count(*) FILTER (good), 6) AS recall_at_k, round(coalesce(1.0 / min(rank) FILTER (good AND rank <= 50), 0), 6) AS reciprocal_rank FROM p GROUP BY query_id""")
 def _(s, d):
     e = table(s, d, "embeddings")
     q = e.where("vec_id % 20 = 0")
     ranked = vectors.batch_top_k(e, "vec_id", "embedding", q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 50).select("query_id", F.col("vec_id").alias("id"), "rank")
     gold = q.select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("id"), "label"), "label").select("query_id", "id")
-    return metrics.per_query(ranked, gold, 10).select("query_id", F.round("recall_at_k", 6).alias("recall_at_k"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
+    return metrics.per_query(ranked, gold, 10).select("query_id", F.round("hit_rate", 6).alias("hit_rate"), F.round("recall_at_k", 6).alias("recall_at_k"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
 
 
 @_query("condition_precision", "SELECT lang AS query_id, round(avg(CASE WHEN coalesce(status = 'published', false) THEN 1.0 ELSE 0.0 END), 6) AS precision FROM documents WHERE lang IS NOT NULL GROUP BY lang")
@@ -425,9 +473,9 @@ def _(s, d):
     return metrics.condition_precision(df, F.col("status") == "published").select("query_id", F.round("precision", 6).alias("precision"))
 
 
-@_query("dedup_by_text", "SELECT substr(md5(text), 1, 10) AS doc_hash, count(*) > 0 AS there FROM documents WHERE text IS NOT NULL GROUP BY 1")
+@_query("dedup_by_text", "SELECT substr(md5(text), 1, 10) AS doc_hash, any_value(text) AS text FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def _(s, d):
-    return metrics.dedup_by_text(table(s, d, "documents").where("text is not null")).select("doc_hash", F.lit(True).alias("there"))
+    return metrics.dedup_by_text(table(s, d, "documents").where("text is not null")).select("doc_hash", "text")
 
 
 # extensions
@@ -445,9 +493,27 @@ def _(s, d):
     return search(documents(s, d), "SELECT DOCUMENT WHERE SEVENTH(meta.title)", "unit_id", functions=seven)
 
 
-@_query("splitter_custom", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, unnest(string_split(text, chr(10) || chr(10))) AS content FROM documents WHERE text IS NOT NULL")
+_PARTS = "part AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, unnest(string_split(text, ', ')) AS content, unnest(range(len(string_split(text, ', ')))) AS n FROM documents WHERE text IS NOT NULL)"
+
+
+@_query("splitter_custom", f"WITH {_PARTS} SELECT doc_id || '#sent:0:' || n AS unit_id, content FROM part WHERE contains(lower(text), 'harbour')")
+def _(s, d):
+    e = Engine(s, documents(s, d))
+    e.register_splitter("SENTENCE", python=lambda t: [] if t is None else t.split(", "), overwrite=True)
+    return e.search('SELECT SENTENCE WHERE content CONTAINS "harbour"').select("unit_id", "content")
+
+
+@_query("span_custom_splitter", f"""WITH {_PARTS} SELECT h.doc_id || '#span:' || h.n || '~1' AS unit_id, string_agg(u.content, ' ' ORDER BY u.n) AS content
+    FROM part h JOIN part u ON u.doc_id = h.doc_id AND u.n BETWEEN h.n - 1 AND h.n + 1 WHERE contains(lower(h.text), 'harbour') GROUP BY h.doc_id, h.n""")
+def _(s, d):
+    e = Engine(s, documents(s, d))
+    e.register_splitter("SENTENCE", build=lambda t: F.split(t, ", ", -1), overwrite=True)
+    return e.search('SELECT SPAN(SENTENCE, 1) WHERE content CONTAINS "harbour"').select("unit_id", "content")
+
+
+@_query("sentence_limit_blank", f"WITH {_SENT} SELECT s.doc_id || '#sent:0:' || ordinal AS unit_id, content FROM sent s JOIN documents d ON CAST(d.doc_id AS VARCHAR) = s.doc_id ORDER BY length(text), seq, ordinal LIMIT 25")
 def _(s, d):
-    return split_units(documents(s, d), "paragraph", lambda t: F.split(t, "\n\n", -1)).units.select("doc_id", "content")
+    return search(documents(s, d), "SELECT SENTENCE ORDER BY LENGTH(content) LIMIT 25", "unit_id", "content")
 
 
 @_query("type_custom", "SELECT CAST(doc_id AS VARCHAR) AS unit_id FROM documents WHERE coalesce(CAST(substr(source, 5) AS INTEGER) > 30, false)")
@@ -483,12 +549,89 @@ def _(s, d):
     return u.join(docs, "doc_key", "left").select("unit_id", F.coalesce("t", F.lit(False)).alias("there"))
 
 
-@_query("neighbour_scan", f"WITH {_SENT} SELECT doc_id, CAST(ordinal AS INTEGER) AS ordinal, content FROM sent WHERE ordinal BETWEEN 3 AND 7 AND seq % 20 = 0")
+_STORED = f"""kept AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, n_chars, {_split(_normal("CASE WHEN status = 'draft' THEN 'Again. ' || text ELSE text END"))} AS l FROM documents WHERE text IS NOT NULL),
+     unit AS (SELECT doc_id, lang, n_chars, unnest(l) AS content, unnest(range(len(l))) AS ordinal FROM kept)"""
+
+
+@_query("store_roundtrip", f"WITH {_STORED} SELECT doc_id || '#sentence:' || ordinal AS unit_id, CAST(ordinal AS INTEGER) AS ordinal, content FROM unit")
+def _(s, d):
+    return stored_documents(s, d).search("SELECT SENTENCE").select("unit_id", "ordinal", "content")
+
+
+@_query("store_filtered", f"WITH {_STORED} SELECT doc_id || '#sentence:' || ordinal AS unit_id, content FROM unit WHERE lang = 'en' AND n_chars >= 500 AND contains(lower(content), 'again')")
+def _(s, d):
+    return stored_documents(s, d).search('SELECT SENTENCE WHERE lang == "en" AND meta.n_chars >= 500 AND content CONTAINS "again"').select("unit_id", "content")
+
+
+@_query("neighbour_scan", f"""WITH {_STORED}, hit AS (SELECT doc_id, ordinal FROM unit WHERE contains(lower(content), 'harbour') ORDER BY length(content) DESC, doc_id, ordinal LIMIT 1)
+    SELECT u.doc_id, CAST(u.ordinal AS INTEGER) AS ordinal, u.content FROM unit u JOIN hit h ON u.doc_id = h.doc_id AND u.ordinal BETWEEN h.ordinal - 3 AND h.ordinal + 3""")
+def _(s, d):
+    e = stored_documents(s, d)
+    hit = e.search('SELECT SENTENCE WHERE content CONTAINS "harbour"').orderBy(F.length("content").desc(), "doc_id", "ordinal").first()
+    return e.store.neighbours(hit.doc_id, hit.ordinal, 3).select("doc_id", "ordinal", "content")
+
+
+@_query("store_count", f"WITH {_STORED} SELECT count(*) AS units FROM unit")
+def _(s, d):
+    return s.createDataFrame([(len(stored_documents(s, d)),)], "units bigint")
+
+
+@_query("store_topk", f"SELECT CAST(vec_id AS VARCHAR) AS unit_id, round({_cos('embedding', _Q0)}, 6) AS score FROM embeddings WHERE label >= 5 ORDER BY {_cos('embedding', _Q0)} DESC, vec_id LIMIT 10")
+def _(s, d):
+    e = stored_vectors(s, d)
+    return e.search('SELECT CHUNK LET score = SIMILARITY(content, "q") WHERE meta.label >= 5 LIMIT 10', vectors={"q": vector_of(s, d, 0)}).select("unit_id", F.round("score", 6).alias("score"))
+
+
+@_query("approximate_topk", f"SELECT CAST(vec_id AS VARCHAR) AS unit_id FROM embeddings WHERE label >= 5 ORDER BY {_cos('embedding', _Q1)} DESC, vec_id LIMIT 10")
 def _(s, d):
-    u = split_units(documents(s, d), "sentence").units
-    frame = Window.partitionBy("doc_id")
-    centre = u.withColumn("c", F.max(F.when(F.col("ordinal") == 5, 5)).over(frame))
-    return centre.where(F.col("ordinal").between(3, 7) & (F.floor(F.col("seq") / 1_000_000) % 20 == 0)).select("doc_id", "ordinal", "content")
+    """The approximate way through the cells, reading all of them, which makes it exact."""
+    e = stored_vectors(s, d, cells=12, profile="hnsw")
+    return e.search('SELECT CHUNK LET r = SIMILARITY(content, "q") WHERE meta.label >= 5 ORDER BY r DESC LIMIT 10', vectors={"q": vector_of(s, d, 1)}).select("unit_id")
+
+
+@_query("embedding_cache", f"WITH {_SENT} SELECT count(DISTINCT content) AS cached, CAST(0 AS BIGINT) AS again, count(*) AS units FROM sent")
+def _(s, d):
+    """Texts in the cache after the first and new ones after a second embedding of all sentences."""
+    units, folder, e = split_units(documents(s, d), "sentence").units.select("unit_id", "content"), f"{workspace(s)}/cache", HashEmbedder(8)
+    embed_cached(units, "content", e, folder)
+    first = s.read.parquet(folder).count()
+    both = embed_cached(units, "content", e, folder)
+    again = s.read.parquet(folder).count() - first
+    return both.where(F.size("vector") == 8).agg(F.lit(first).cast("bigint").alias("cached"), F.lit(again).cast("bigint").alias("again"), F.count("*").alias("units"))
+
+
+_FILES = "SELECT CAST(item_id AS VARCHAR) AS doc_id, {text} AS text FROM eval_items WHERE passage IS NOT NULL"
+
+
+@_query("load_text", _FILES.format(text="passage"))
+def _(s, d):
+    """Every passage as a file of its own, read by the loader of its extension."""
+    files = Files(s, workspace(s))
+    for r in table(s, d, "eval_items").where("passage is not null").select("item_id", "passage").collect():
+        files.create(f"{r.item_id}.txt", r.passage)
+    return load_documents(s, f"{files.path}/*.txt").select("doc_id", F.col("payloads")[0]["text"].alias("text"))
+
+
+@_query("load_docx", _FILES.format(text="array_to_string(list_filter(string_split(passage, chr(10)), lambda l: trim(l) <> ''), chr(10))"))
+def _(s, d):
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    space, files = "http://schemas.openxmlformats.org/wordprocessingml/2006/main", Files(s, workspace(s))
+    for r in table(s, d, "eval_items").where("passage is not null").select("item_id", "passage").collect():
+        lines = "".join(f"<w:p><w:r><w:t>{escape(x)}</w:t></w:r></w:p>" for x in r.passage.split("\n"))
+        with zipfile.ZipFile(packed := io.BytesIO(), "w") as z:
+            z.writestr("word/document.xml", f'<w:document xmlns:w="{space}"><w:body>{lines}</w:body></w:document>')
+        files.create(f"{r.item_id}.docx", packed.getvalue())
+    return load_documents(s, f"{files.path}/*.docx").select("doc_id", F.col("payloads")[0]["text"].alias("text"))
+
+
+@_query("distractors", "SELECT count(*) AS n, CAST(0 AS BIGINT) AS gold FROM (SELECT doc_id FROM documents WHERE lang IS DISTINCT FROM 'en' LIMIT 100)")
+def _(s, d):
+    """A seeded sample (its feature): how many rows, and how many of the gold ones among them."""
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("id"), "lang")
+    return metrics.distractors(docs, docs.where("lang = 'en'"), 100).agg(F.count("*").alias("n"), F.count(F.when(F.col("lang") == "en", 1)).alias("gold"))
 
 
 @_query("neighbour_range", f"""WITH {_SENT}, hit AS (SELECT doc_id, ordinal FROM sent WHERE contains(lower(content), 'harbour'))
@@ -511,30 +654,93 @@ def _(s, d):
     return search(v, 'SELECT SPAN(SENTENCE, 1) LET rel = SIMILARITY(content, "the tool agent checks the filter mask") WHERE rel > 0.3 ORDER BY rel DESC LIMIT 20', "unit_id", "content", "rel", embedder=e)
 
 
-@_query("translated_filters")
+def _values(rows: list[tuple[str, str]], *names: str) -> str:
+    quoted = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {quoted}) t({', '.join(names)})"
+
+
+# The forms that other systems take of one filter.
+_TRANSLATED = [
+    ('must', "{'must': [{'key': 'status', 'match': {'value': 'published'}}, {'should': [{'key': 'year', 'range': {'gte': 2024}}, {'must_not': [{'must_not': [{'key': 'lang', 'match': {'value': 'en'}}]}]}]}]}"),
+    ('where', "{'$and': [{'status': {'$eq': 'published'}}, {'$or': [{'year': {'$gte': 2024}}, {'lang': {'$eq': 'en'}}]}]}"),
+    ('sql', "(metadata->>'status' = %s AND ((metadata->>'year')::numeric >= %s OR NOT (metadata->>'lang' <> %s))) ['published', 2024, 'en']"),
+]
+
+
+@_query("translated_filters", _values(_TRANSLATED, "target", "filter"))
 def _(s, d):
     where = parse('SELECT CHUNK WHERE meta.status == "published" AND (meta.year >= 2024 OR NOT meta.lang != "en")').where
     sql, values = translate.sql_filter(where)
     return s.createDataFrame([("must", str(translate.must_filter(where))), ("where", str(translate.where_filter(where))), ("sql", f"{sql} {values}")], "target string, filter string")
 
 
-@_query("explain_plan")
+# What is said of one query before it runs.
+_EXPLAINED = [
+    ('ir', "{'select': {'unit': 'document'}, 'where': {'node': 'and', 'operands': [{'node': 'compare', 'op': '==', 'left': {'node': 'path', 'root': 'meta', 'segments': ['lang']}, 'right': {'node': 'literal', 'value': 'en'}}, {'node': 'call', 'name': 'CONTAINS', 'args': [{'node': 'path', 'root': 'content', 'segments': []}, {'node': 'literal', 'value': 'agent'}]}]}, 'order_by': [{'expr': {'node': 'call', 'name': 'LENGTH', 'args': [{'node': 'path', 'root': 'content', 'segments': []}]}, 'desc': True}], 'limit': 5}"),
+    ('select', "{'unit': 'document', 'window': None}"),
+    ('granularity', 'document'),
+    ('store', 'local'),
+    ('scores', '[]'),
+    ('bindings', '[]'),
+    ('filter', "{'pushed': {'node': 'compare', 'op': '==', 'left': {'node': 'path', 'root': 'meta', 'segments': ['lang']}, 'right': {'node': 'literal', 'value': 'en'}}, 'residual': {'node': 'call', 'name': 'CONTAINS', 'args': [{'node': 'path', 'root': 'content', 'segments': []}, {'node': 'literal', 'value': 'agent'}]}}"),
+    ('order_by', "[{'expr': {'node': 'call', 'name': 'LENGTH', 'args': [{'node': 'path', 'root': 'content', 'segments': []}]}, 'desc': True}]"),
+    ('limit', '5'),
+    ('recall', 'scan'),
+]
+
+
+@_query("explain_plan", _values(_EXPLAINED, "item", "value"))
 def _(s, d):
     e = Engine(s, documents(s, d))
     x = e.explain('SELECT DOCUMENT WHERE meta.lang == "en" AND content CONTAINS "agent" ORDER BY LENGTH(content) DESC LIMIT 5')
     return s.createDataFrame([(k, str(v)) for k, v in x.items()], "item string, value string")
 
 
-@_query("cell_index_topk")
+# Which conditions each layout holds itself.
+_PUSHED = [
+    ('local', 'compare', 'call'),
+    ('faiss', '', 'and'),
+    ('hnsw', 'compare', 'call'),
+    ('qdrant', 'compare', 'call'),
+    ('chroma', 'compare', 'call'),
+    ('pgvector', 'and', ''),
+]
+
+
+@_query("layout_pushdown", _values(_PUSHED, "layout", "pushed", "residual"))
 def _(s, d):
-    import tempfile
-    import uuid
+    shown = lambda n: "" if n is None else str(n)
+    rows = []
+    for name, profile in PROFILES.items():
+        x = Engine(s, replace(documents(s, d), profile=profile)).explain('SELECT DOCUMENT WHERE meta.lang == "en" AND content CONTAINS "agent"')["filter"]
+        rows.append((name, shown(x["pushed"] and x["pushed"]["node"]), shown(x["residual"] and x["residual"]["node"])))
+    return s.createDataFrame(rows, "layout string, pushed string, residual string")
 
-    root = (s.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}").rstrip("/")
+
+# The nodes of the query schema, and the tool's outline.
+_SCHEMA = [
+    ('nodes', 'and binding call compare expr literal not or orderKey path ref select'),
+    ('functions', 'CONTAINS COUNT LENGTH LIKE LOWER MATCH SIMILARITY UPPER'),
+    ('tool', 'function type'),
+    ('same', 'True'),
+]
+
+
+@_query("query_schema", _values(_SCHEMA, "item", "value"))
+def _(s, d):
+    e = Engine(s, documents(s, d))
+    t = e.tool()
+    rows = [("nodes", " ".join(sorted(e.schema()["$defs"]))), ("functions", " ".join(e.registry.names("function"))), ("tool", " ".join(sorted(t))), ("same", str(schema.query_schema(e.registry.names("function")) == e.schema()))]
+    return s.createDataFrame(rows, "item string, value string")
+
+
+@_query("cell_index_topk", f"""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, {_cos('a.embedding', 'b.embedding')} AS s FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)
+    SELECT query_id, vec_id, round(s, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS INTEGER) AS rank FROM p QUALIFY rank <= 10""")
+def _(s, d):
     e = table(s, d, "embeddings")
-    index = vectors.CellIndex.build(e, "embedding", f"{root}/cells-{uuid.uuid4().hex}", cells=16)
+    index = vectors.CellIndex.build(e, "embedding", f"{workspace(s)}/cells", cells=16)
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return index.batch_search(s, "vec_id", q, 10, probes=8)
+    return index.batch_search(s, "vec_id", q, 10, probes=8).withColumn("score", F.round("score", 6))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -26,5 +27,6 @@ def ship(spark: SparkSession) -> SparkSession:
                     path = os.path.join(folder, f)
                     z.write(path, os.path.join("quillspan", os.path.relpath(path, root)))
     sc.addPyFile(name)
+    atexit.register(lambda: os.path.exists(name) and os.remove(name))  # served from there until then
     _SENT.add(sc.applicationId)
     return spark

@@ -45,7 +45,7 @@ class Files:
     def names(self, folder: str) -> list[str]:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(folder))) if self.exists(folder) else []
 
-    def create(self, name: str, text: str = "") -> bool:
+    def create(self, name: str, content: str | bytes = "") -> bool:
         """A new file; False if it is there already."""
         try:
             out = self._fs.create(self._path(name), False)
@@ -53,7 +53,7 @@ class Files:
             if "AlreadyExists" in str(e) or "already exists" in str(e):
                 return False
             raise
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(content.encode() if isinstance(content, str) else content))
         out.close()
         return True
 
