@@ -81,7 +81,9 @@ _SCRIPT_NAMES = ("", *_SCRIPTS)
 
 def _script_letters(text: str) -> dict[str, int]:
     found: dict[str, int] = {}
-    for m in _SCRIPT.finditer(text):
+    if max(text, default="") < "\u0370":  # Latin
+        return found
+    for m in _SCRIPT.finditer(text.replace(" ", "")):
         name = _SCRIPT_NAMES[m.lastindex]
         found[name] = found.get(name, 0) + m.end() - m.start()
     return found
@@ -91,12 +93,16 @@ def _drop_technical(m: re.Match) -> str:
     return " " if _TECHNICAL.search(m.group()) else m.group()
 
 
+#: every ASCII character that is no letter, as a blank
+_ASCII_LETTERS = {c: chr(c) if chr(c).isalpha() else " " for c in range(128)}
+
+
 def features(sentence: str) -> str:
     """The text whose n-grams count: letters and single blanks, without numbers, addresses and identifiers."""
     s = (_ASCII_RUN.sub(_drop_technical, sentence) if _TECHNICAL.search(sentence) else sentence).lower()
-    if not s.isascii():
-        s = unicodedata.normalize("NFKC", s)
-    return " " + " ".join(_NOT_LETTERS.sub(" ", s).split()) + " "
+    if s.isascii():
+        return " " + " ".join(s.translate(_ASCII_LETTERS).split()) + " "
+    return " " + " ".join(_NOT_LETTERS.sub(" ", unicodedata.normalize("NFKC", s)).split()) + " "
 
 
 def _plain(text: str) -> str:
@@ -131,11 +137,10 @@ class _Grams:
     """n-grams and words of many sentences as hashes, for whole arrays at once."""
 
     def __init__(self, texts: list[str]):
-        self.sizes = np.array([len(t) for t in texts], np.int64)
-        self.starts = np.concatenate(([0], np.cumsum(self.sizes)))[:-1]
+        sizes = np.array([len(t) for t in texts], np.int64)
+        ends = np.cumsum(sizes)
         c = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
-        sent = np.repeat(np.arange(len(texts)), self.sizes)
-        hashes, owners = [], []
+        hashes, counts = [], []
         with np.errstate(over="ignore"):
             h = np.zeros(len(c), np.uint64)
             for n in ORDERS:
@@ -143,23 +148,28 @@ class _Grams:
                 if m <= 0:
                     break
                 h = h[:m] * _P + c[n - 1 :] + np.uint64(1)
-                inside = sent[:m] == sent[n - 1 :]
-                hashes.append(((h ^ np.uint64(n)) * _MIX)[inside])
-                owners.append(sent[:m][inside])
-            # words: between blanks, by prefix hashes
+                inside = np.ones(len(c), bool)
+                for k in range(1, n):  # not across the end of a sentence
+                    inside[np.maximum(ends - k, ends - sizes)] = False
+                mine = np.maximum(sizes - (n - 1), 0)
+                inside[(ends - 1)[(sizes > 0) & (mine == 0)]] = False
+                hashes.append(((h ^ np.uint64(n)) * _MIX)[inside[:m]])
+                counts.append(mine)
+            # words: between blanks, of which a sentence begins and ends with one
             blank = np.flatnonzero(c == 32)
             left, right = blank[:-1] + 1, blank[1:]
-            word = (right > left) & (sent[left - 1] == sent[right]) if len(blank) > 1 else np.zeros(0, bool)
+            word = right > left
             left, right = left[word], right[word]
             # of a word of any length: the difference of two prefix sums, brought to its own place
             power, back = _powers(len(c))
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((c + np.uint64(1)) * power, dtype=np.uint64)))
             total = (sums[right] - sums[left]) * back[left]
             hashes.append((total ^ np.uint64(77)) * _MIX)
-            owners.append(sent[left])
+            counts.append(np.diff(np.searchsorted(left, np.concatenate((ends - sizes, ends[-1:])))))
+        #: of each kind how many each sentence has, one sentence behind the other
+        self.counts = counts
         self.kinds = [len(x) for x in hashes]
         self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        self.owners = np.concatenate(owners) if owners else np.zeros(0, np.int64)
 
 
 class Model:
@@ -182,7 +192,7 @@ class Model:
             for k in range(len(g.kinds)):
                 kind = kinds - 1 if k == len(g.kinds) - 1 else k
                 parts[kind].append(g.hashes[ends[k] : ends[k + 1]])
-                langs_of[kind].append(owner_lang[s + g.owners[ends[k] : ends[k + 1]]])
+                langs_of[kind].append(np.repeat(owner_lang[s : s + 500], g.counts[k]))
         keys, rows, known = [], [], []
         n_lang = len(self.langs)
         for kind in range(kinds):
@@ -193,8 +203,8 @@ class Model:
             keys.append(u)
             rows.append(np.log((count + ALPHA) / (count.sum(0) + ALPHA * (len(u) + 1))))
             known.append((count > 0) & (kind == len(ORDERS) - 1))
-        self.table = np.concatenate(rows).astype(np.float32) if rows else np.zeros((0, n_lang), np.float32)
-        self.known = np.concatenate(known) if known else np.zeros((0, n_lang), bool)
+        self.table = np.concatenate([*rows, np.zeros((1, n_lang))]).astype(np.float32)
+        self.known = np.concatenate([*known, np.zeros((1, n_lang), bool)])
         self._fill(np.concatenate(keys) if keys else np.zeros(0, np.uint64))
 
     def _script_writers(self, samples: list[tuple[str, str]]) -> dict[str, tuple[int, ...]]:
@@ -300,24 +310,20 @@ class Model:
     def _slice(self, texts: list[str], ll: np.ndarray, ok: np.ndarray, some: tuple[int, ...]) -> None:
         table = self._columns(some)
         g = _Grams(texts)
-        row = self._find(g.hashes)
+        row = self._find(g.hashes)  # the last row, of zeros, for unknown ones
         seen = np.zeros(len(texts), np.int64)
         ends = np.cumsum([0, *g.kinds])
-        for k in range(len(g.kinds)):  # within a kind the n-grams stand by sentence
-            r, owner = row[ends[k] : ends[k + 1]], g.owners[ends[k] : ends[k + 1]]
-            hit = r >= 0
-            r, owner = r[hit], owner[hit]
-            if not len(r):
+        for k, many in enumerate(g.counts):
+            there = np.flatnonzero(many)
+            if not len(there):
                 continue
-            first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-            ll[owner[first]] += np.add.reduceat(table[r], first)
-            ok[owner[first]] = True
+            first = (np.cumsum(many) - many)[there]
+            r = row[ends[k] : ends[k + 1]]
+            ll[there] += np.add.reduceat(table[r], first)
+            if k == 0:  # where no single letter is known, nothing is
+                ok[there] = np.maximum.reduceat(r, first) >= 0
             if k == len(ORDERS) - 1:
-                plain = np.array([t.isascii() for t in texts])[owner]
-                r, owner = r[plain], owner[plain]
-                if len(r):
-                    first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-                    seen[owner[first]] = np.add.reduceat(self.known[r].astype(np.int16), first).max(1)
+                seen[there] = np.add.reduceat(self.known[r].view(np.int8), first, dtype=np.int32).max(1)
         for i, t in enumerate(texts):
             longest = len(t) - max(ORDERS) + 1
             if len(t) < 3 or (longest >= 12 and t.isascii() and seen[i] < MIN_KNOWN * longest):
