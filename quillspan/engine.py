@@ -93,8 +93,8 @@ class Engine:
             q = Query.from_dict(dict(q))
         return q if limit is None else replace(q, limit=limit)
 
-    def _analyze(self, q: Query) -> Analyzed:
-        return analyze(q, self.registry, self.collection.profile, self.field_types)
+    def _analyze(self, q: Query, c: Collection) -> Analyzed:
+        return analyze(q, self.registry, c.profile, self.field_types)
 
     def _vector(self, name: str, text: str) -> list[float]:
         e = self.named_embedders.get(name, self.embedder)
@@ -110,11 +110,12 @@ class Engine:
 
         ``vectors`` gives the query vector of a similarity's text directly, without an embedder.
         """
-        a = self._analyze(self.query(q, limit))
+        c = self.collection
+        a = self._analyze(self.query(q, limit), c)
         given = vectors or {}
         query_vectors = {k: list(given[s.text]) if s.text in given else self._vector(s.vector, s.text) for k, s in a.scorers.items()}
         settings = plan.Settings(self.registry, self.field_types, self.strict, reranker or self.reranker, rerank_query, self.rerank_factor, self.insertion_order)
-        return plan.build(a, self.collection, query_vectors, settings)
+        return plan.build(a, c, query_vectors, settings)
 
     def search_ir(self, document: Mapping[str, Any], limit: int | None = None) -> DataFrame:
         return self.search(document, limit)
@@ -122,8 +123,8 @@ class Engine:
     def explain(self, q: str | Query | Builder | Mapping[str, Any], physical: bool = False, vectors: Mapping[str, Sequence[float]] | None = None) -> dict[str, Any]:
         """What the query will do, without running it."""
         query = self.query(q)
-        a = self._analyze(query)
         c = self.collection
+        a = self._analyze(query, c)
         plan.check_granularity(query, c.granularity)
         names = {s.key: n for n, e in query.let for s in a.scorers.values() if getattr(e, "key", None) == s.key}
         named = any(s.vector != "default" for s in a.scorers.values())

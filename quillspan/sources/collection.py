@@ -91,6 +91,9 @@ def upsert(current: DataFrame, new: DataFrame, key: str, seq: str) -> DataFrame:
 
 
 def jdbc_scan(spark: SparkSession, url: str, table: str, condition: str | None = None, **options: Any) -> DataFrame:
-    """A filtered scan of a relational table; the condition runs there."""
-    query = f"SELECT * FROM {table}" + (f" WHERE {condition}" if condition else "")
-    return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+    """A filtered scan of a relational table; the condition runs there.
+
+    With ``partitionColumn``, ``lowerBound``, ``upperBound`` and ``numPartitions`` it is read in parallel.
+    """
+    rows = f"(SELECT * FROM {table}" + (f" WHERE {condition}" if condition else "") + ") filtered"
+    return spark.read.format("jdbc").options(url=url, dbtable=rows, **options).load()

@@ -81,6 +81,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str, fields: Mapping[str, str] | None = None):
         self.spark, self.path, self.files = spark, path.rstrip("/"), Files(spark, path)
+        self._read: dict[str, dict[str, Any]] = {}  # manifests never change
         if self.files.exists("store.json"):
             kept = json.loads(self.files.read("store.json"))["fields"]
             if fields is not None and dict(fields) != kept:
@@ -92,7 +93,11 @@ class Store:
     # versions
 
     def manifests(self) -> list[dict[str, Any]]:
-        return [json.loads(self.files.read(f"manifests/{n}")) for n in self.files.names("manifests") if n.endswith(".json")]
+        names = [n for n in self.files.names("manifests") if n.endswith(".json")]
+        for n in names:
+            if n not in self._read:
+                self._read[n] = json.loads(self.files.read(f"manifests/{n}"))
+        return [self._read[n] for n in names]
 
     def next_seq(self) -> int:
         """The version that the next writer gets."""
