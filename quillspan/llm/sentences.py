@@ -77,23 +77,32 @@ _HEADING = re.compile(r"\s*(?:#{1,6}\s|={2,}\s?|\*\*[^*]+\*\*\s*$|<h\d)")
 _LOG = re.compile(r"\s*(?:\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\[?\d\d:\d\d:\d\d\b|0x[0-9a-f]+\b|(?:INFO|WARN|ERROR|DEBUG|TRACE)\b|[\d;,.:\s-]+$)")
 _IDENT = re.compile(r"[a-z][\w-]*(?:[._/][\w.-]+|\d[\w.]*)|[a-z][\w-]* v?\d+\.\d|[a-z]+[A-Z]")
 _WORD_CHAR = re.compile(r"[\w.º\u0900-\u0DFF\u0E00-\u0E7F-]").match
+_WORD_BACK = re.compile(r"[\w.º\u0900-\u0DFF\u0E00-\u0E7F-]+$")
 
 
-def _abbreviation(kind: str, line: str, dot: int, start: int) -> bool:
-    """Whether an abbreviation of this kind ends just before the mark, from a word's start on."""
-    word = line[max(start, dot - _DEPTH) : dot]  # more than the longest abbreviation, so nothing is lost
+@lru_cache(maxsize=50_000)
+def _kinds(word: str) -> tuple[str, ...]:
+    """The kinds of abbreviation that a word ends with; its own or after a mark inside it."""
     if not word.isascii():
         word = unicodedata.normalize("NFC", word)
     word = word.lower()
-    node, i, hit = _TRIES[kind], len(word) - 1, -1
-    while i >= 0:
-        node = node.get(word[i])
-        if node is None:
-            break
-        if "" in node:
-            hit = i
-        i -= 1
-    return hit == 0 or hit > 0 and not (word[hit - 1].isalnum() or word[hit - 1] == ".")
+    out = []
+    for kind, trie in _TRIES.items():
+        node, i, hit = trie, len(word) - 1, -1
+        while i >= 0:
+            node = node.get(word[i])
+            if node is None:
+                break
+            if "" in node:
+                hit = i
+            i -= 1
+        if hit == 0 or (hit > 0 and not (word[hit - 1].isalnum() or word[hit - 1] == ".")):
+            out.append(kind)
+    return tuple(out)
+
+
+def _abbreviations(line: str, start: int, dot: int) -> tuple[str, ...]:
+    return _kinds(line[max(start, dot - _DEPTH) : dot])  # more than the longest abbreviation, so nothing is lost
 
 
 def _cased(ch: str) -> str:
@@ -289,19 +298,21 @@ def _terminates(line: str, begin: int, i: int, n: int, capitals: bool) -> int:
         if kind == "o" and before and _cased(before) == "o" and follow > "\u02ff":
             return end if not _abbrev_any(line, begin, i) else 0
         return end if follow in "“„«「『¿¡" else 0
-    start = i
-    while start > begin and _WORD_CHAR(line[start - 1]):
+    m = _WORD_BACK.search(line, max(begin, i - 24), i)
+    start = m.start() if m else i
+    while start > begin and i - start >= 24 and _WORD_CHAR(line[start - 1]):  # a longer word
         start -= 1
     word = line[start:i]
     if kind == "l":
         if not _IDENT.match(line, k):
             return 0
         return 0 if _abbrev_any(line, start, i) else end
-    if _abbreviation("title", line, i, start) and word.lower() not in ("m",) or word in ("M", "Mme"):
+    kinds = _abbreviations(line, start, i)
+    if "title" in kinds and word.lower() not in ("m",) or word in ("M", "Mme"):
         return 0
-    if _abbreviation("inner", line, i, start):
+    if "inner" in kinds:
         return 0
-    if _abbreviation("number", line, i, start):
+    if "number" in kinds:
         return 0 if kind == "9" or word.lower() in ("см", "див", "bkz", "vgl", "cf") else end
     if len(word) == 1 and word.isupper() and kind == "U" and not capitals:
         return 0  # an initial
@@ -309,7 +320,7 @@ def _terminates(line: str, begin: int, i: int, n: int, capitals: bool) -> int:
         nxt = re.match(r"\w+", line[k : k + 20])
         if nxt and nxt.group().lower() in MONTHS:
             return 0
-    if _abbreviation("final", line, i, start):
+    if "final" in kinds:
         if word.lower() == "co" and _COMPANY.match(line, k):
             return 0
         if kind == "9" and word.lower() in ("vs",):
@@ -340,7 +351,7 @@ def _technical(line: str, i: int) -> bool:
 
 
 def _abbrev_any(line: str, start: int, i: int) -> bool:
-    return any(_abbreviation(kind, line, i, start) for kind in _TRIES)
+    return bool(_abbreviations(line, start, i))
 
 
 def is_single(line: str) -> bool:
