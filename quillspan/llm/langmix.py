@@ -395,10 +395,13 @@ def fit_mixture(scores: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np
 
     keep = climb(winners)
     while True:
-        n = range(ll.shape[1])
-        sets = [(float(v), (k,)) for k, v in enumerate(ll.sum(0) - PENALTY)]
-        sets += [(float(v), (i, j)) for i in n for j, v in enumerate(np.maximum(ll[:, i : i + 1], ll).sum(0) - 2 * PENALTY) if j > i and v > em(keep)[0]]
-        other = better(sets, em(keep)[0])
+        value = em(keep)[0]
+        sets = [(float(v), (k,)) for k, v in enumerate(ll.sum(0) - PENALTY) if v > value]
+        if -2 * PENALTY > value:  # no likelihood is above 0, so pairs may matter
+            for i in range(ll.shape[1] - 1):
+                reach = np.maximum(ll[:, i : i + 1], ll[:, i + 1 :]).sum(0) - 2 * PENALTY
+                sets += [(float(reach[j]), (i, i + 1 + j)) for j in np.flatnonzero(reach > value).tolist()]
+        other = better(sets, value)
         if other is None:
             break
         keep = climb(other)
