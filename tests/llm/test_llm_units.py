@@ -72,7 +72,7 @@ def test_very_long_sentences():
 
 def test_skeletons():
     s = confusables.skeleton
-    same = [("ＡＢＣ１２", "ABC12"), ("ﬁlter", "filter"), ("сосна", "coсна"), ("a​b­c", "abc"), ("a b c", "a b c"), ("é", "é"), ("ﾃﾞｰﾀ", "データ"), ("Å", "Å"), ("각", "각"), ("µ", "μ")]
+    same = [("ＡＢＣ１２", "ABC12"), ("ﬁlter", "filter"), ("ꓧꓰꓡꓡꓳ", "HELLO"), ("Ꮯɑt", "Cat"), ("сосна", "coсна"), ("a​b­c", "abc"), ("a b c", "a b c"), ("é", "é"), ("ﾃﾞｰﾀ", "データ"), ("Å", "Å"), ("각", "각"), ("µ", "μ")]
     for a, b in same:
         assert s(a) == s(b), (a, b)
     other = [("A", "a"), ("é", "e"), ("x²", "x2"), ("a.", "a"), ("a b", "b a"), ("ı", "i"), ("l", "1"), ("O", "0"), ("–", "-")]
