@@ -111,8 +111,12 @@ def build(a: Analyzed, c: Collection, query_vectors: Mapping[str, list[float]],
 
 def approximate(a: Analyzed, c: Collection) -> bool:
     """Whether the nearest cells are enough: an index, a layout that allows it, and a limit on one similarity's order."""
+    return not c.profile.exact and c.cells is not None and _nearest_first(a)
+
+
+def _nearest_first(a: Analyzed) -> bool:
     q = a.query
-    if c.profile.exact or c.cells is None or q.limit is None or len(a.scorers) != 1 or next(iter(a.scorers.values())).vector != "default":
+    if q.limit is None or len(a.scorers) != 1 or next(iter(a.scorers.values())).vector != "default":
         return False
     if not q.order_by:
         return True
@@ -120,7 +124,12 @@ def approximate(a: Analyzed, c: Collection) -> bool:
 
 
 def _recalled(a: Analyzed, c: Collection, query_vectors: Mapping[str, list[float]], s: Settings) -> DataFrame:
-    """The units to score: all, or those of the cells nearest to the query."""
+    """The units to score: all, those that another system finds, or those of the cells nearest to the query."""
+    if c.remote is not None:
+        # its own top-k only where nothing is left to be filtered here
+        nearest = _nearest_first(a) and a.residual is None and a.query.select.unit == c.granularity
+        vector = query_vectors[next(iter(a.scorers))] if nearest else None
+        return c.remote(a.pushed, vector, a.query.limit * (OVERFETCH if not c.profile.exact else 1) * (s.rerank_factor if s.reranker else 1) if nearest else None)
     if not approximate(a, c):
         return c.units
     near = c.cells.near(c.units.sparkSession, query_vectors[next(iter(a.scorers))])

@@ -15,6 +15,7 @@ from ..operators import text as text_ops
 from ..operators.partition import spread
 from ..operators.vectors import CellIndex
 from ..plans.analyze import PROFILES, Profile
+from ..plans.ir import Node
 
 ENVELOPE = ("unit_id", "doc_id", "ordinal", "seq", "content")
 
@@ -29,6 +30,8 @@ class Collection:
     ``documents`` (doc_id, content and the same metadata columns) serves DOCUMENT results.
     ``seq`` may be of any type that can be ordered.  Where the profile isn't exact, ``cells``
     is a layout of the units that approximate searches read, ``newer`` the units it lacks.
+    ``remote(condition, query vector, k)`` gives the units of another system that meet a
+    condition it can hold; ``units`` then only says their columns.
     """
 
     units: DataFrame
@@ -40,6 +43,7 @@ class Collection:
     profile: Profile = PROFILES["local"]
     cells: CellIndex | None = None
     newer: DataFrame | None = None
+    remote: Callable[[Node | None, Sequence[float] | None, int | None], DataFrame] | None = None
 
     def __post_init__(self) -> None:
         missing = [c for c in (*ENVELOPE, *self.fields.values(), *self.vectors.values(), *([self.open_metadata] if self.open_metadata else [])) if c not in self.units.columns]

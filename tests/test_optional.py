@@ -1,18 +1,20 @@
 """What needs a library or a service that may be missing: with a stand-in of its interface, and without."""
 
+import json
 import sys
 import types
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillspan.engine import Engine
 from quillspan.errors import EmbeddingError, RegistryError
-from quillspan.operators.embed import LocalModelEmbedder
+from quillspan.operators.embed import HashEmbedder, LocalModelEmbedder
 from quillspan.operators.rerank import CrossEncoder
 from quillspan.operators.text import pysbd_sentences
-from quillspan.sources import files
-from quillspan.sources.collection import jdbc_scan
+from quillspan.sources import files, remote
+from quillspan.sources.collection import Collection, jdbc_scan
 from quillspan.sources.store import Source, Store
 
 
@@ -126,3 +128,69 @@ def test_a_storage_of_one_s_own(spark, tmp_path):
     own: Source = Fixed(store)
     assert [r.content for r in Engine(spark, store=own, granularity="sentence").search("SELECT SENTENCE ORDER BY content").collect()] == ["One.", "Two."]
     assert own.scan().count() == 2
+
+
+def records():
+    e = HashEmbedder(16)
+    texts = [f"word{i} item{i % 5}" for i in range(30)]
+    meta = [({"status": "p" if i % 3 else "d"} if i % 10 else {}) | {"year": 2000 + i, "n": str(i)} for i in range(30)]
+    return [{"unit_id": f"u{i:02d}", "doc_id": f"u{i:02d}", "ordinal": 0, "seq": i, "content": t, "metadata": m, "vector": v.tolist()} for i, (t, m, v) in enumerate(zip(texts, meta, e.embed(texts)))]
+
+
+QUERIES = [
+    ('SELECT CHUNK LET r = SIMILARITY(content, "word7 item2") WHERE meta.status == "p" AND meta.year >= 2005 ORDER BY r DESC LIMIT 5', True),
+    ('SELECT CHUNK LET r = SIMILARITY(content, "word7 item2") WHERE meta.status == "p" AND content CONTAINS "ITEM2" LIMIT 4', None),
+    ('SELECT CHUNK WHERE meta.status == "p" AND (meta.year < 2009 OR NOT meta.year <= 2020) ORDER BY meta.year', False),
+    ('SELECT CHUNK LET r = SIMILARITY(content, "word7 item2") WHERE meta.status != "p" LIMIT 7', None),
+    ('SELECT CHUNK WHERE LENGTH(content) > 11 AND meta.status != "p" ORDER BY content', False),
+]
+
+
+@pytest.mark.parametrize(("query", "ranked"), QUERIES)
+def test_other_systems_find_the_same(spark, query, ranked):
+    """A database of the relational form and a service of the other one, against a local collection."""
+    import duckdb
+
+    rows = records()
+    e = HashEmbedder(16)
+    local = spark.createDataFrame([(*[r[k] for k in ("unit_id", "doc_id", "ordinal", "seq", "content")], json.dumps(r["metadata"]), r["vector"]) for r in rows], remote.ROWS).withColumn("metadata", F.parse_json("metadata"))
+    want = [r.unit_id for r in Engine(spark, Collection(local, "chunk", {}, "metadata", {"default": "vector"}), embedder=e).search(query).collect()]
+    assert want
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (unit_id VARCHAR, doc_id VARCHAR, ordinal INT, seq BIGINT, content VARCHAR, metadata JSON, vector FLOAT[16])")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?, ?, ?, ?, ?)", [[r[k] if k != "metadata" else json.dumps(r[k]) for k in ("unit_id", "doc_id", "ordinal", "seq", "content", "metadata", "vector")] for r in rows])
+    asked = []
+
+    class Database(remote.RelationalSource):
+        def rows(self, where, vector, k):
+            asked.append((where, k, self.query(where, vector, k)))
+            found = con.execute(asked[-1][2]).fetchall()
+            return spark.createDataFrame([(*r[:6], json.loads(r[6])) for r in found], remote.ROWS)
+
+    database = Database(spark, "jdbc:none", "t", "-list_inner_product(vector, {v}::FLOAT[16])")
+    assert [r.unit_id for r in Engine(spark, store=database, granularity="chunk", embedder=e).search(query).collect()] == want
+    if ranked:
+        assert asked[-1][1] == 15 and "LIMIT 15" in asked[-1][2]  # three times the limit, as the layout isn't exact
+    if ranked is False:
+        assert asked[-1][1] is None
+
+    def fetch(condition, vector, k):
+        def holds(m, c):
+            if "key" in c:
+                v = m.get(c["key"])
+                return v == c["match"]["value"] if "match" in c else all({"gte": v >= x, "lt": v < x, "lte": v <= x, "gt": v > x}[o] for o, x in c["range"].items())
+            return all(holds(m, x) for x in c.get("must", ())) and not any(holds(m, x) for x in c.get("must_not", ())) and ("should" not in c or any(holds(m, x) for x in c["should"]))
+
+        found = [r for r in rows if condition is None or holds(r["metadata"], condition)]
+        found.sort(key=lambda r: -float(np.dot(r["vector"], vector)) if vector is not None else r["seq"])
+        return found[:k]
+
+    service = remote.ServiceSource(spark, fetch)
+    assert [r.unit_id for r in Engine(spark, store=service, granularity="chunk", embedder=e).search(query).collect()] == want
+
+
+def test_statements_are_closed():
+    assert remote.inline("a = %s AND b = %s", ["it's", 3]) == "a = 'it''s' AND b = 3"
+    assert [remote.literal(x) for x in (None, True, 1.5)] == ["NULL", "TRUE", "1.5"]
+    with pytest.raises(ValueError):
+        remote.inline("a = %s", [])
