@@ -48,6 +48,8 @@ MOST_ANCHORS = 65_536
 PROBES, SLACK = 8, 0.08
 #: sampled vectors an anchor that the sizes of cells are estimated from
 SIZE_SAMPLE = 4
+#: tasks of the search at most
+MOST_TASKS = 50_000
 #: anchors that a vector is compared with at once; more are taken block by block, all of them
 FLAT = 4096
 #: queries, and cosines of the exact way, that a task works on at once
@@ -295,7 +297,10 @@ def similar_classes(vectors: DataFrame, anchors: np.ndarray, blocks: np.ndarray,
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "cos": pa.array(np.rint(cos * 1e6), pa.int32())})
 
     placed = vectors.select("vid", "q").mapInArrow(route, "part bigint, home boolean, query boolean, vid bigint, q binary")
-    found = placed.groupBy("part").applyInArrow(search, "a bigint, b bigint, cos int")
+    # a task for about one part, so that none grows with the collection
+    session = vectors.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism, min(MOST_TASKS, int((blocks * blocks).sum())))
+    found = placed.repartition(tasks, "part").groupBy("part").applyInArrow(search, "a bigint, b bigint, cos int")
     both = found.select("a", "b", "cos", F.explode(F.array(F.lit(True), F.lit(False))).alias("as_is"))
     both = both.select(F.when(F.col("as_is"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("as_is"), F.col("b")).otherwise(F.col("a")).alias("b"), "cos")
     by = Window.partitionBy("a").orderBy(F.desc("cos"), "b")
