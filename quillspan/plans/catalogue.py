@@ -576,6 +576,31 @@ def _(s, d):
     return s.createDataFrame([(len(stored_documents(s, d)),)], "units bigint")
 
 
+@_query("store_document", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN status = 'draft' THEN 'Again. ' || text ELSE text END AS text FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents WHERE text IS NOT NULL AND status = 'draft')")
+def _(s, d):
+    first = table(s, d, "documents").where("text is not null and status = 'draft'").agg(F.min("doc_id")).first()[0]
+    return stored_documents(s, d).store.document(str(first)).select("doc_id", F.col("payloads")[0]["text"].alias("text"))
+
+
+@_query("stored_images_and_names", "SELECT * FROM (VALUES ('cat', 'image', 1.0, -2.0), ('note', 'text', -2.0, 1.0)) t(unit_id, modality, picture, title)")
+def _(s, d):
+    """An image and a unit with a named vector, each found by its own."""
+    e = Engine(s, store=Store(s, workspace(s)), embedder=HashEmbedder(16), named_embedders={"title": HashEmbedder(8)}, granularity="chunk")
+    e.add_image(b"a red cat", {"k": 1}, doc_id="cat")
+    e.add_multivector("note", "body words", {"title": "blue whale"})
+    both = e.search('SELECT CHUNK LET picture = SIMILARITY(content, "a red cat"), title = SIMILARITY(vec.title, "blue whale")')
+    found = both.join(e.store.units().select("unit_id", "payload.modality"), "unit_id")
+    missing = F.when(F.col("picture") > 0.999, 1.0).otherwise(-2.0)
+    return found.select(F.col("doc_id").alias("unit_id"), "modality", missing.alias("picture"), F.round("title", 3).alias("title"))
+
+
+@_query("hash_embedding", """SELECT * FROM (VALUES ('agents plan tasks', 0.0953::DOUBLE, 0.5673::DOUBLE, 0.8127::DOUBLE, 0.0926::DOUBLE), ('Agents  PLAN tasks', 0.0953::DOUBLE, 0.5673::DOUBLE, 0.8127::DOUBLE, 0.0926::DOUBLE), ('plan', 0.3168::DOUBLE, 0.1536::DOUBLE, 0.9039::DOUBLE, -0.2427::DOUBLE), ('', 0.7607::DOUBLE, -0.6042::DOUBLE, 0.0107::DOUBLE, 0.2370::DOUBLE)) t(text, x0, x1, x2, x3)""")
+def _(s, d):
+    """The seeded vectors of a few texts, which must be the same everywhere."""
+    df = s.createDataFrame([("agents plan tasks",), ("Agents  PLAN tasks",), ("plan",), ("",)], "text string").withColumn("v", embed_column(F.col("text"), HashEmbedder(4)))
+    return df.select("text", *[F.round(F.col("v")[i].cast("double"), 4).alias(f"x{i}") for i in range(4)])
+
+
 @_query("store_topk", f"SELECT CAST(vec_id AS VARCHAR) AS unit_id, round({_cos('embedding', _Q0)}, 6) AS score FROM embeddings WHERE label >= 5 ORDER BY {_cos('embedding', _Q0)} DESC, vec_id LIMIT 10")
 def _(s, d):
     e = stored_vectors(s, d)
