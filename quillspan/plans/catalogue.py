@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..builder import content, contains, length, meta, ref, select, similarity
@@ -106,12 +106,16 @@ def workspace(spark: SparkSession) -> str:
     return name
 
 
+def payload(text: Column) -> Column:
+    one = F.struct(F.lit("text").alias("modality"), text.alias("text"), F.lit(None).cast("binary").alias("bytes"), F.lit(None).cast("string").alias("uri"), F.lit("text/plain").alias("mime"))
+    return F.array(one).alias("payloads")
+
+
 def stored_documents(spark: SparkSession, d: str) -> Engine:
     """The documents in a store by sentences, the drafts among them added a second time with another text."""
     e = Engine(spark, store=Store(spark, workspace(spark), {"lang": "string", "n_chars": "bigint"}), granularity="sentence")
     df = table(spark, d, "documents").where("text is not null")
-    text = lambda t: F.array(F.struct(F.lit("text").alias("modality"), t.alias("text"), F.lit(None).cast("binary").alias("bytes"), F.lit(None).cast("string").alias("uri"), F.lit("text/plain").alias("mime")))
-    rows = lambda x, t: x.select(F.col("doc_id").cast("string").alias("doc_id"), text(t).alias("payloads"), F.to_variant_object(F.struct("lang", "n_chars")).alias("metadata"), "source")
+    rows = lambda x, t: x.select(F.col("doc_id").cast("string").alias("doc_id"), payload(t), F.to_variant_object(F.struct("lang", "n_chars")).alias("metadata"), "source")
     e.add_documents(rows(df, F.col("text")))
     e.add_documents(rows(df.where("status = 'draft'"), F.concat(F.lit("Again. "), F.col("text"))))
     return e
@@ -576,6 +580,21 @@ def _(s, d):
     return s.createDataFrame([(len(stored_documents(s, d)),)], "units bigint")
 
 
+@_query("stream_ingest", f"""WITH kept AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, {_split(_normal('text'))} AS l FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id || '#sentence:' || unnest(range(len(l))) AS unit_id, unnest(l) AS content FROM kept""")
+def _(s, d):
+    """The documents as a stream of files, in micro-batches of one file each."""
+    from ..streaming.ingest import ingest_stream
+
+    folder = workspace(s)
+    e = Engine(s, store=Store(s, f"{folder}/store"), granularity="sentence")
+    df = table(s, d, "documents").where("text is not null").select("doc_id", "text", "source").repartition(3, "doc_id")
+    df.select(F.col("doc_id").cast("string").alias("doc_id"), payload(F.col("text")), F.parse_json(F.lit("{}")).alias("metadata"), "source").write.parquet(f"{folder}/in")
+    arriving = s.readStream.schema(s.read.parquet(f"{folder}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    ingest_stream(e, arriving, f"{folder}/checkpoint").awaitTermination()
+    return e.search("SELECT SENTENCE").select("unit_id", "content")
+
+
 @_query("store_document", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN status = 'draft' THEN 'Again. ' || text ELSE text END AS text FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents WHERE text IS NOT NULL AND status = 'draft')")
 def _(s, d):
     first = table(s, d, "documents").where("text is not null and status = 'draft'").agg(F.min("doc_id")).first()[0]
