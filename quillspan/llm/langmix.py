@@ -41,7 +41,9 @@ OWN_SCRIPT = 0.3
 #: log-likelihood of the other languages of a sentence that its script settles
 SETTLED = -1000.0
 #: least share of a Latin sentence's longest n-grams that its best language must know
-MIN_KNOWN = 0.1
+MIN_KNOWN = 0.22
+#: the same of a model that knows the wordings of the samples only
+FIRST_KNOWN = 0.1
 
 # ISO 639-2 three-letter codes (terminological and bibliographic) of the two-letter ones.
 THREE = {
@@ -175,7 +177,8 @@ class _Grams:
 class Model:
     """Log-probabilities of n-grams and words by language; rows are found through a hash table."""
 
-    def __init__(self, samples: list[tuple[str, str]]):
+    def __init__(self, samples: list[tuple[str, str]], least: float = FIRST_KNOWN):
+        self.least = least
         self.langs = sorted({lang for lang, _ in samples})
         at = {lang: k for k, lang in enumerate(self.langs)}
         self.all = tuple(range(len(self.langs)))
@@ -326,7 +329,7 @@ class Model:
                 seen[there] = np.add.reduceat(self.known[r].view(np.int8), first, dtype=np.int32).max(1)
         for i, t in enumerate(texts):
             longest = len(t) - max(ORDERS) + 1
-            if len(t) < 3 or (longest >= 12 and t.isascii() and seen[i] < MIN_KNOWN * longest):
+            if len(t) < 3 or (longest >= 12 and t.isascii() and seen[i] < self.least * longest):
                 ok[i] = False
 
 
@@ -489,7 +492,7 @@ def refine(model: Model, samples: list[tuple[str, str]], labelled: list[tuple[st
         whole = use.any() and agree[use].mean() >= MOSTLY
         more += [(lang, s) for s, u, a in zip(part, use, agree) if u and (a or whole)]
         at += len(part)
-    return Model(samples + more)
+    return Model(samples + more, MIN_KNOWN)
 
 
 def fit_model(store_docs: DataFrame, lang_samples: DataFrame, sample_limit: int = SAMPLE_LIMIT, labelled_limit: int = LABELLED_LIMIT) -> Model:

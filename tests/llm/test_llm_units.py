@@ -325,6 +325,18 @@ def test_words_of_any_length_have_their_own_hash():
     assert len(words) == 5 and words[0] == words[3] and len(set(words)) == 4
 
 
+def test_scrambled_letters_are_in_no_language():
+    import duckdb
+
+    samples = duckdb.connect().execute("SELECT lang, text FROM '/root/testdata/sf0.001/lang_samples.parquet'").fetchall()
+    model = langmix.Model(samples, langmix.MIN_KNOWN)
+    rng = random.Random(3)
+    letters = "".join(c for _, t in samples for c in t.lower() if c.isascii() and c.isalpha())
+    junk = ["Tail " + " ".join("".join(rng.choices(letters, k=rng.randint(2, 7))) for _ in range(14)) + "." for _ in range(200)]
+    assert model.scores(junk)[1].mean() < 0.1
+    assert model.scores([t for _, t in samples])[1].all()
+
+
 def test_scripts_of_one_language_settle_a_sentence():
     model = langmix.Model([("th", "กา ขา คา"), ("ru", "слой поиска"), ("uk", "шар пошуку"), ("en", "a search layer"), ("ja", "検索の層だ"), ("zh", "检索层")])
     assert {k: [model.langs[i] for i in v] for k, v in model.writers.items() if v} == {"": ["en"], "thai": ["th"], "kana": ["ja"], "cyrillic": ["ru", "uk"], "han": ["ja", "zh"]}
