@@ -138,7 +138,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 class _Grams:
     """n-grams and words of many sentences as hashes, for whole arrays at once."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], orders: tuple[int, ...] = ORDERS):
         sizes = np.array([len(t) for t in texts], np.int64)
         ends = np.cumsum(sizes)
         c = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -149,7 +149,9 @@ class _Grams:
                 m = len(c) - n + 1
                 if m <= 0:
                     break
-                h = h[:m] * _P + c[n - 1 :] + np.uint64(1)
+                h = h[:m] * _P + c[n - 1 :] + np.uint64(1)  # one character more each time
+                if n not in orders:
+                    continue
                 inside = np.ones(len(c), bool)
                 for k in range(1, n):  # not across the end of a sentence
                     inside[np.maximum(ends - k, ends - sizes)] = False
@@ -183,7 +185,7 @@ class Model:
         at = {lang: k for k, lang in enumerate(self.langs)}
         self.all = tuple(range(len(self.langs)))
         self.writers = self._script_writers(samples)
-        self._narrow: dict[tuple[int, ...], np.ndarray] = {}
+        self._narrow: dict[tuple[int, ...], tuple[np.ndarray, np.ndarray]] = {}
         forms = [(at[lang], f) for lang, text in samples for f in {features(text), _plain(features(text))} if len(f) > 2]
         kinds = len(ORDERS) + 1
         parts: list[list[np.ndarray]] = [[] for _ in range(kinds)]
@@ -254,17 +256,23 @@ class Model:
             todo, at = todo[rest], (at[rest] + 1) & mask
 
     def _find(self, h: np.ndarray) -> np.ndarray:
-        """Row of each hash, -1 for unknown ones."""
-        out = np.full(len(h), -1, np.int32)
-        todo = np.arange(len(h))
+        """Row of each hash, the last for unknown ones."""
+        out = np.full(len(h), len(self.table) - 1, np.int32)
         at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
         mask = (1 << self.bits) - 1
-        while len(todo):
-            row = self.slots[at]
-            hit = (row >= 0) & (self.keys[row] == h[todo])
+        todo, mine = None, h
+        while len(mine):
+            row = self.slots.take(at)
+            taken = row >= 0
+            hit = taken & (self.keys.take(row, mode="clip") == mine)
+            if todo is None:  # the first look, for all
+                np.copyto(out, row, where=hit)
+                todo = np.flatnonzero(taken & ~hit)
+                at, mine = (at[todo] + 1) & mask, h[todo]
+                continue
             out[todo[hit]] = row[hit]
-            on = (row >= 0) & ~hit
-            todo, at = todo[on], (at[on] + 1) & mask
+            on = np.flatnonzero(taken & ~hit)
+            todo, at, mine = todo[on], (at[on] + 1) & mask, mine[on]
         return out
 
     def scores(self, sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -301,18 +309,20 @@ class Model:
             ll[members], ok[members] = mine, good
         return ll, ok
 
-    def _columns(self, some: tuple[int, ...]) -> np.ndarray:
-        """The table's columns of some languages, side by side; made once in each process."""
+    def _columns(self, some: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """The table's columns of some languages, each in one piece; made once in each process."""
         if some not in self._narrow:
-            self._narrow[some] = np.ascontiguousarray(self.table[:, list(some)])
+            self._narrow[some] = np.ascontiguousarray(self.table.T[list(some)]), np.ascontiguousarray(self.known.T[list(some)].view(np.int8))
         return self._narrow[some]
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_narrow": {}}
 
     def _slice(self, texts: list[str], ll: np.ndarray, ok: np.ndarray, some: tuple[int, ...]) -> None:
-        table = self._columns(some)
-        g = _Grams(texts)
+        table, known = self._columns(some)
+        # single letters tell languages of one alphabet hardly apart
+        orders = ORDERS if set(some) & set(self.writers["han"]) or some == self.all else ORDERS[1:]
+        g = _Grams(texts, orders)
         row = self._find(g.hashes)  # the last row, of zeros, for unknown ones
         seen = np.zeros(len(texts), np.int64)
         ends = np.cumsum([0, *g.kinds])
@@ -322,11 +332,11 @@ class Model:
                 continue
             first = (np.cumsum(many) - many)[there]
             r = row[ends[k] : ends[k + 1]]
-            ll[there] += np.add.reduceat(table[r], first)
-            if k == 0:  # where no single letter is known, nothing is
-                ok[there] = np.maximum.reduceat(r, first) >= 0
-            if k == len(ORDERS) - 1:
-                seen[there] = np.add.reduceat(self.known[r].view(np.int8), first, dtype=np.int32).max(1)
+            ll[there] += np.add.reduceat(table.take(r, 1, mode="clip"), first, axis=1).T
+            if k == 0:  # where none of the shortest is known, nothing is
+                ok[there] = np.minimum.reduceat(r, first) < len(self.table) - 1
+            if k == len(orders) - 1:
+                seen[there] = np.add.reduceat(known.take(r, 1, mode="clip"), first, axis=1, dtype=np.int32).max(0)
         for i, t in enumerate(texts):
             longest = len(t) - max(ORDERS) + 1
             if len(t) < 3 or (longest >= 12 and t.isascii() and seen[i] < self.least * longest):
